@@ -24,8 +24,8 @@ from mailsift.streaming import keyed, triage
 def table_stream(v: Inputs, name: str) -> DataFrame:
     """A given table as a stream."""
     schema = v.spark.read.parquet(f"{v.sf_dir}/{name}.parquet").schema
-    reader = v.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.parquet(v.sf_dir)
+    options = {"pathGlobFilter": f"{name}.parquet", "maxFilesPerTrigger": 1}
+    return v.spark.readStream.schema(schema).options(**options).parquet(v.sf_dir)
 
 
 def run(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
@@ -172,10 +172,10 @@ def rate_limit_stream(v: Inputs):
 
 
 @query(sql="""
-WITH f AS (SELECT user_id AS key, epoch_ms(ts) AS at_ms,
-    lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ms
+WITH f AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS at_ms,
+    lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ms
   FROM events WHERE event_type <> 'error'),
-mark AS (SELECT epoch_ms(max(ts)) - 600000 AS mark_ms FROM events WHERE event_type <> 'error'),
+mark AS (SELECT epoch_us(max(ts)) // 1000 - 600000 AS mark_ms FROM events WHERE event_type <> 'error'),
 gaps AS (SELECT key, at_ms, coalesce(next_ms, mark_ms) - at_ms AS gap FROM f, mark)
 SELECT key, at_ms AS last_fetch_ms, 'warning' AS level FROM gaps WHERE gap > 3600000
 UNION ALL SELECT key, at_ms, 'critical' FROM gaps WHERE gap > 6 * 3600000""")

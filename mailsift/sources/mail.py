@@ -40,6 +40,8 @@ def read_mail_folders(
 ) -> DataFrame:
     """All messages in ``<root>/<mailbox>/<folder>``; absent folders and unreadable files are skipped.
 
+    So are files without a single byte, which Spark does not scan.
+
     ``modified_after`` is inclusive and is checked before a file is opened; ``content`` is only
     read when it is used.
     """
