@@ -179,7 +179,7 @@ def retry_outcome(
 
     ``attempt`` counts failures since the last success (0 on a success). The failure that
     reaches ``max_retries`` is ``failed`` and restarts the count, an earlier one is ``retry``
-    and gets ``retry_in`` seconds of backoff.
+    and gets ``retry_in`` seconds of backoff, to be tried again at ``next_attempt_us``.
     """
     rows = running_values(
         df, [key], ts, tie, marks={"_reset": F.col(success)}, block_seconds=block_seconds
@@ -194,8 +194,9 @@ def retry_outcome(
     )
     rows = rows.withColumn("outcome", outcome)
     retry_in = F.when(F.col("outcome") == "retry", retry_delay(F.col("attempt"), *delay))
+    next_us = micros(F.col(ts)) + (F.col("retry_in") * SECOND).cast("bigint")
     return rows.withColumn("retry_in", retry_in).select(
-        *df.columns, "attempt", "outcome", "retry_in"
+        *df.columns, "attempt", "outcome", "retry_in", next_us.alias("next_attempt_us")
     )
 
 

@@ -17,6 +17,8 @@ class Inputs:
     """The views of one scale factor, by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        # The tables hold times without a zone; as instants they are read as UTC.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -178,17 +178,20 @@ def rate_limit_drop(v: Inputs):
 MAX_RETRIES = 5
 _FAILURES = """numbered AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY {key} ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS grp
   FROM {table}), failing AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY {key}, grp ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS n FROM numbered)"""
+_BACKOFF = f"CASE WHEN NOT ok AND attempt < {MAX_RETRIES} THEN least(5.0 * power(2.0, attempt - 1), 300.0)::DOUBLE END"
 RETRY_SQL = f"""
 WITH {_FAILURES.format(key='message_key', table='attempts')}, counted AS (
-  SELECT message_key, id, ok, CASE WHEN ok THEN 0 ELSE (n - 1) % {MAX_RETRIES} + 1 END AS attempt FROM failing)
+  SELECT message_key, id, ts, ok, CASE WHEN ok THEN 0 ELSE (n - 1) % {MAX_RETRIES} + 1 END AS attempt FROM failing)
 SELECT message_key, id, attempt, CASE WHEN ok THEN 'delivered' WHEN attempt = {MAX_RETRIES} THEN 'failed' ELSE 'retry' END AS outcome"""
 
 
 @query("attempts", sql=RETRY_SQL + f""",
-  CASE WHEN NOT ok AND attempt < {MAX_RETRIES} THEN least(5.0 * power(2.0, attempt - 1), 300.0)::DOUBLE END AS retry_in FROM counted""")
+  {_BACKOFF} AS retry_in, epoch_us(ts) + CAST({_BACKOFF} * 1000000 AS BIGINT) AS next_attempt_us FROM counted""")
 def retry_outcome(v: Inputs):
     rows = windows.retry_outcome(v.attempts, max_retries=MAX_RETRIES)
-    return rows.select("message_key", "id", "attempt", "outcome", "retry_in")
+    return rows.select(
+        "message_key", "id", "attempt", "outcome", "retry_in", "next_attempt_us"
+    )
 
 
 @query("fetch_log", sql=f"""
@@ -221,11 +224,13 @@ def read_status(v: Inputs):
 
 
 def _latest_status(v: Inputs):
-    reports = records.read_status(v.status.select("mailbox", "id", "status"))
-    return windows.latest_status(reports, "mailbox", "updated_at", "id")
+    """The last report written wins; if it cannot be read there is none. Only it is parsed."""
+    reports = v.status.select("mailbox", "id", "ts", "status")
+    return records.read_status(windows.latest_status(reports, "mailbox", "ts", "id"))
 
 
-_LATEST = "latest AS (SELECT * FROM read QUALIFY row_number() OVER (PARTITION BY mailbox ORDER BY updated_at DESC, id DESC) = 1)"
+_LATEST = """latest AS (SELECT * FROM read WHERE id IN (SELECT id FROM status
+  QUALIFY row_number() OVER (PARTITION BY mailbox ORDER BY ts DESC, id DESC) = 1))"""
 
 
 @query("status", sql=f"""
@@ -258,7 +263,7 @@ def folder_union(v: Inputs):
     return filters.folder_union(*folders).groupBy("folder").agg(F.count("*").alias("messages"))
 
 
-@query("mail", "ledger", sql="""
+@query("mail", sql="""
 SELECT doc_id, CASE WHEN folder = 'new' THEN 1 ELSE 0 END AS priority FROM mail WHERE folder IN ('cur', 'new')""")
 def retry_first(v: Inputs):
     mail = v.mail.select("doc_id", "folder")

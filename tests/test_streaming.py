@@ -116,11 +116,11 @@ def test_replayed_batch_replaces_itself(spark, tmp_path):
     rows = [("b", f"{i}.mail", f"From: a{i}@x\n\nb".encode()) for i in range(3)] * 20 + [("b", "bad.mail", None)]
     batch = spark.createDataFrame(rows, "mailbox string, name string, content binary")
     for _ in range(2):
-        triage.process_batch(batch, 5, f"{tmp_path}/t")
+        triage.triage_batch(batch, 5, f"{tmp_path}/t")
     rows = triage.read_dispositions(spark, f"{tmp_path}/t").collect()
     assert sorted((r["disposition"], r["reason"]) for r in rows) == [
         ("delivered", "No clear sign of harm")] * 3 + [("failed", "Parse error: no content")]
-    triage.process_batch(batch, 6, f"{tmp_path}/t")
+    triage.triage_batch(batch, 6, f"{tmp_path}/t")
     assert triage.read_dispositions(spark, f"{tmp_path}/t").count() == 4
 
 
