@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from mailsift.functions.timing import micros
 
@@ -25,6 +25,11 @@ def _block(ts_us: Column, block_seconds: int) -> Column:
     return F.floor(ts_us / F.lit(block_seconds * SECOND)).cast("bigint")
 
 
+def _micros_of(df: DataFrame, ts: str) -> Column:
+    """A time column in microseconds; a bigint column holds them already."""
+    return F.col(ts) if df.schema[ts].dataType == T.LongType() else micros(F.col(ts))
+
+
 def running_values(
     df: DataFrame,
     key: Sequence[str],
@@ -44,21 +49,24 @@ def running_values(
     busiest key in one block fit a task.
     """
     marks, maxima = dict(marks or {}), dict(maxima or {})
-    names = [*marks, *maxima]
+    key, at_us = list(key), _micros_of(df, ts)
     # As a struct, a key with nulls still matches itself in the join below.
-    rows = df.withColumn("_key", F.struct(*key)).withColumn(
-        "_block", F.coalesce(_block(micros(F.col(ts)), block_seconds), F.lit(NO_BLOCK))
+    rows = df.withColumns({f"_{n}": c for n, c in (marks | maxima).items()}).select(
+        F.struct(*key).alias("_key"),
+        F.coalesce(_block(at_us, block_seconds), F.lit(NO_BLOCK)).alias("_block"),
+        *[c for c in df.columns if c not in key], *[f"_{n}" for n in (*marks, *maxima)],
     )
     in_block = Window.partitionBy("_key", "_block").orderBy(ts, tie)
     so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_pos", F.row_number().over(in_block).cast("bigint"))
-    rows = rows.withColumns(
-        {f"_{n}": F.max(F.when(c, F.col("_pos"))).over(so_far) for n, c in marks.items()}
-        | {f"_{n}": F.max(c).over(so_far) for n, c in maxima.items()}
+    local = rows.withColumn("_pos", F.row_number().over(in_block).cast("bigint"))
+    local = local.withColumns(
+        {f"_{n}": F.max(F.when(F.col(f"_{n}"), F.col("_pos"))).over(so_far) for n in marks}
+        | {f"_{n}": F.max(f"_{n}").over(so_far) for n in maxima}
     )
 
-    blocks = rows.groupBy("_key", "_block").agg(
-        F.max("_pos").alias("_n"), *[F.max(f"_{n}").alias(f"_{n}") for n in names]
+    # Without marks the totals need no order, so they are counted before anything is shuffled.
+    blocks = (local if marks else rows).groupBy("_key", "_block").agg(
+        F.count("*").alias("_n"), *[F.max(f"_{n}").alias(f"_{n}") for n in (*marks, *maxima)]
     )
     before = (
         Window.partitionBy("_key").orderBy("_block")
@@ -70,13 +78,16 @@ def running_values(
         *[F.max(F.col("_off") + F.col(f"_{n}")).over(before).alias(f"_c_{n}") for n in marks],
         *[F.max(f"_{n}").over(before).alias(f"_c_{n}") for n in maxima],
     )
-    joined = rows.join(carried, ["_key", "_block"])
+    joined = local.join(carried, ["_key", "_block"])
     out = {"position": F.col("_off") + F.col("_pos")}
     for n in marks:
         out[n] = F.coalesce(F.col("_off") + F.col(f"_{n}"), F.col(f"_c_{n}"))
     for n in maxima:
         out[n] = F.greatest(F.col(f"_{n}"), F.col(f"_c_{n}"))
-    return joined.select(*[F.col(c) for c in df.columns], *[v.alias(n) for n, v in out.items()])
+    return joined.select(
+        *[F.col(f"_key.{c}" if c in key else c) for c in df.columns],
+        *[v.alias(n) for n, v in out.items()],
+    )
 
 
 def trailing_sum(

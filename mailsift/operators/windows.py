@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from mailsift.functions.timing import RECONNECT, micros, retry_delay
@@ -96,56 +96,61 @@ def drop_requests(
 
     Episodes are streamed in time order with ``limit`` times of state. A key that never calms
     down is one episode: its chain of decisions is sequential by nature, but it is neither
-    collected nor held in memory. Uncontested rows are spread by block.
+    collected nor held in memory; over a stream, ``rate_limit_stream`` does the same bit by
+    bit. Uncontested rows are spread by block. Every request needs a time.
     """
-    narrow = df.select(key, tie, ts).withColumn("_us", micros(F.col(ts)))
+    rows = df.select(key, tie, micros(F.col(ts)).alias("_us"))
     rows = trailing_sum(
-        narrow, [key], F.col("_us"), tie, seconds, "_load", block_seconds=block_seconds
+        rows, [key], F.col("_us"), tie, seconds, "_load", block_seconds=block_seconds
     )
     contested = (F.col("_load") > limit).cast("int")
     rows = trailing_sum(
         rows, [key], -F.col("_us"), tie, seconds, "_ahead", weight=contested,
         block_seconds=block_seconds,
     )
-    involved = F.col("_ahead") > 0
+    rows = rows.select(key, tie, "_us", (F.col("_ahead") > 0).alias("_involved"))
     rows = trailing_sum(
-        rows, [key], F.col("_us"), tie, seconds, "_before", weight=involved.cast("int"),
-        include_peers=False, block_seconds=block_seconds,
+        rows, [key], F.col("_us"), tie, seconds, "_before",
+        weight=F.col("_involved").cast("int"), include_peers=False, block_seconds=block_seconds,
     )
+    opens = F.col("_involved") & (F.col("_before") == 1)
     rows = running_values(
-        rows, [key], ts, tie,
-        maxima={"_start": F.when(involved & (F.col("_before") == 1), F.col("_us"))},
-        block_seconds=block_seconds,
+        rows.select(key, tie, "_us", "_involved", F.when(opens, F.col("_us")).alias("_opens")),
+        [key], "_us", tie, maxima={"_start": F.col("_opens")}, block_seconds=block_seconds,
     )
     block = F.floor(F.col("_us") / F.lit(block_seconds * SECOND)).cast("bigint")
     rows = rows.select(
-        key, tie, ts, "_us", involved.alias("_involved"),
-        F.when(involved, F.col("_start")).otherwise(block).alias("_group"),
+        key, tie, "_us", "_involved",
+        F.when(F.col("_involved"), F.col("_start")).otherwise(block).alias("_group"),
     )
     schema = T.StructType(
-        [*rows.select(key, tie, ts).schema.fields, T.StructField("admitted", T.BooleanType())]
+        [*rows.select(key, tie, "_us").schema.fields, T.StructField("admitted", T.BooleanType())]
     )
     span = seconds * SECOND
 
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         episode, latest = None, []
         for batch in batches:
-            flags = np.ones(len(batch), dtype=bool)
-            busy = batch[batch["_involved"]]
-            at_us, names = busy["_us"].to_numpy(), list(zip(busy[key], busy["_group"]))
+            involved = batch.column("_involved").to_numpy(zero_copy_only=False)
+            busy = np.flatnonzero(involved)
+            at_us = batch.column("_us").to_numpy(zero_copy_only=False)[busy]
+            names = list(zip(*[batch.column(c).take(busy).to_pylist() for c in (key, "_group")]))
             starts = [i for i, name in enumerate(names) if i == 0 or name != names[i - 1]]
-            admitted = np.zeros(len(busy), dtype=bool)
+            flags = np.ones(batch.num_rows, dtype=bool)
             for start, end in zip(starts, [*starts[1:], len(names)]):
                 if names[start] != episode:
                     episode, latest = names[start], []
-                admitted[start:end] = admit_in_order(at_us[start:end], latest, limit, span)
-            flags[batch["_involved"].to_numpy()] = admitted
-            yield batch[[key, tie, ts]].assign(admitted=flags)
+                flags[busy[start:end]] = admit_in_order(at_us[start:end], latest, limit, span)
+            columns = [batch.column(c) for c in (key, tie, "_us")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(flags)], names=schema.names)
 
     ordered = rows.repartition(key, "_involved", "_group").sortWithinPartitions(
         key, "_involved", "_group", "_us", tie
     )
-    return ordered.mapInPandas(stream, schema)
+    time_type = df.schema[ts].dataType
+    return ordered.mapInArrow(stream, schema).select(
+        key, tie, F.timestamp_micros("_us").cast(time_type).alias(ts), "admitted"
+    )
 
 
 def rate_limit(

@@ -118,8 +118,18 @@ def test_delay_mode(busy, limit, seconds, block):
             assert got[i] == t
 
 
-def test_calm_keys_are_not_simulated(spark, monkeypatch):
-    """Under the limit no request is contested, so the ordered part has nothing to do."""
+def test_drop_mode_with_large_and_null_numbers_as_keys(spark):
+    keys = [2**62 + 1, 2**62 + 2, None]
+    rows = [(k, i, T0 + dt.timedelta(seconds=i % 50)) for i, k in enumerate(keys * 100)]
+    df = spark.createDataFrame(rows, "key bigint, id bigint, ts timestamp")
+    got = {r["id"]: r for r in windows.rate_limit(df, limit=2, seconds=20, mode="drop").collect()}
+    for group in by_key(rows):
+        want = slow_drop([r[2] for r in group], 2, dt.timedelta(seconds=20))
+        assert [got[r[1]]["admitted"] for r in group] == want
+        assert all((got[r[1]]["key"], got[r[1]]["ts"]) == (r[0], r[2]) for r in group)
+
+
+def test_calm_keys_are_admitted(spark):
     rows = [(1, i, T0 + dt.timedelta(seconds=i)) for i in range(300)]
     df = spark.createDataFrame(rows, "key int, id int, ts timestamp_ntz")
     out = windows.rate_limit(df, limit=60, seconds=60, mode="drop").collect()
