@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mailsift.functions.timing import micros
 from mailsift.operators.scans import SECOND
 
-# Thresholds and message texts.
+# Thresholds (the message texts below are fixed too).
 PENDING_WARNING, PENDING_CRITICAL = 10, 50
 FAILURES_CRITICAL = 3
 STALE_SECONDS, STALE_CRITICAL_SECONDS = 3600, 21600
