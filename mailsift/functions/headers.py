@@ -74,6 +74,20 @@ def plain_preview(body: Column, n: int = PREVIEW_CHARS) -> Column:
     return strip(F.translate(F.substring(body, 1, n), "\n", " "))
 
 
+def scan_preview(raw: Column, n: int = PREVIEW_CHARS) -> Column:
+    """Shell form of the preview: every stretch from a blank line to a line starting with ``--``."""
+    stretches = F.regexp_extract_all(raw, F.lit(r"(?ms)^\n.*?(?:^--[^\n]*(?:\n|\z)|\z)"), F.lit(0))
+    return F.translate(F.substring(F.array_join(stretches, ""), 1, n), "\n", " ")
+
+
+def digest_preview(raw: Column, n: int = 300) -> Column:
+    """Shell form for digests: from the first blank line on, without lines starting with ``--``."""
+    start = F.length(header_block(raw)) + 2
+    text = F.substring(raw, start, F.length(raw))
+    kept = F.regexp_replace(text, r"(?m)^--[^\n]*(?:\n|\z)", "")
+    return F.translate(F.substring(kept, 1, n), "\n", " ")
+
+
 def recipient_address(to: Column) -> Column:
     """Bare address out of ``Name <a@b>``, ``<a@b>`` or ``a@b``; otherwise the input.
 

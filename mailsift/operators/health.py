@@ -172,6 +172,6 @@ def health_rollup_ext(
     return _with_status(checked, as_of)
 
 
-def all_messages(issues: Column, warnings: Column) -> Column:
+def all_messages(issues: Column | str, warnings: Column | str) -> Column:
     """Issues, then warnings, in one list."""
     return F.concat(issues, warnings)

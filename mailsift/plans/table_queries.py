@@ -8,7 +8,7 @@ from mailsift import functions as M
 from mailsift.functions.risk import digest_category
 from mailsift.functions.timing import micros
 from mailsift.operators import digest, filters, health, joins, windows
-from mailsift.plans import sqltext as S
+from mailsift.plans import briefing, sqltext as S
 from mailsift.plans.registry import Inputs, query
 from mailsift.plans.text_queries import labelled_path
 from mailsift.sources import records
@@ -390,14 +390,16 @@ def _digest_mail(v: Inputs):
     )
 
 
-@query("mail", "mailboxes", sql=f"""
-WITH recent AS (SELECT * FROM mail WHERE received_at >= (SELECT max(received_at) FROM mail) - INTERVAL 24 HOUR
-  QUALIFY row_number() OVER (PARTITION BY mailbox ORDER BY received_at DESC, message_id) <= 50)
-SELECT b.mailbox, count(doc_id) AS items, coalesce(string_agg(
+_DIGEST = f"""recent AS (SELECT * FROM mail WHERE received_at >= (SELECT max(received_at) FROM mail) - INTERVAL 24 HOUR
+  QUALIFY row_number() OVER (PARTITION BY mailbox ORDER BY received_at DESC, message_id) <= 50),
+digests AS (SELECT b.mailbox, count(doc_id) AS items, coalesce(string_agg(
   'FROM: ' || {S.prompt('from_addr', 100)} || chr(10) || 'SUBJECT: ' || {S.prompt('subject', 100)} || chr(10)
   || 'PREVIEW: ' || {S.prompt(S.preview('body'), 200)} || chr(10), chr(10) || '---' || chr(10)
   ORDER BY received_at DESC, message_id) FILTER (doc_id IS NOT NULL), 'No new emails in the last 24 hours.') AS digest
-FROM mailboxes b LEFT JOIN recent r USING (mailbox) GROUP BY b.mailbox""")
+FROM mailboxes b LEFT JOIN recent r USING (mailbox) GROUP BY b.mailbox)"""
+
+
+@query("mail", "mailboxes", sql=f"WITH {_DIGEST} SELECT * FROM digests")
 def mail_digest(v: Inputs):
     mail = _digest_mail(v)
     return digest.mail_digest(mail, v.mailboxes, latest(v.mail, "received_at"))
@@ -437,3 +439,18 @@ def quarantine_summary(v: Inputs):
     blocked = _digest_mail(v).where("folder_label = 'QUARANTINE'")
     rows = digest.quarantine_summary(blocked, max_items=3)
     return rows.withColumn("items", F.array_join("items", "; "))
+
+
+@query("queue", "mailboxes", "status", "probe", "mail", sql=f"""
+WITH {_INPUTS}, {_CHECKS}, {_DIGEST}, {_rollup_sql(_ISSUES, _WARNINGS).replace("SELECT mailbox, issues, warnings,", ", rollup AS (SELECT mailbox,", 1)}),
+totals AS (SELECT mailbox, count(*) AS total, count(*) FILTER (folder = '.Quarantine/cur') AS quarantined FROM mail
+  WHERE received_at >= (SELECT max(received_at) FROM mail) - INTERVAL 24 HOUR GROUP BY ALL)
+SELECT d.mailbox, items, digest, coalesce(total, 0) AS total, coalesce(quarantined, 0) AS quarantined, status, messages
+FROM digests d LEFT JOIN totals USING (mailbox) LEFT JOIN rollup USING (mailbox)""")
+def daily_briefing(v: Inputs):
+    """Digest, totals and health of every mailbox in one table."""
+    rollup = health.health_rollup(_health_inputs(v), latest(v.events, "ts"), **LIMITS)
+    rows = briefing.daily_briefing(
+        _digest_mail(v), v.mailboxes, rollup, latest(v.mail, "received_at")
+    )
+    return rows.withColumn("messages", F.array_join("messages", "; "))

@@ -133,6 +133,32 @@ def body_preview(v: Inputs):
     )
 
 
+@query("mail_raw", sql="""
+WITH l AS (SELECT doc_id, raw, string_split(raw, chr(10)) AS lines FROM mail_raw),
+n AS (SELECT doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS line, len(lines) AS total FROM l),
+-- A stretch is open from a blank line up to and including the next line that starts with two dashes.
+marks AS (SELECT *, max(CASE WHEN line = '' THEN i END) OVER w AS blank, max(CASE WHEN line LIKE '--%' THEN i END)
+    OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dash,
+  min(CASE WHEN line = '' THEN i END) OVER (PARTITION BY doc_id) AS first_blank
+  FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+text AS (SELECT doc_id,
+  string_agg(line || CASE WHEN i < total THEN chr(10) ELSE '' END, '' ORDER BY i)
+    FILTER (blank > coalesce(dash, 0)) AS scan,
+  string_agg(line || CASE WHEN i < total THEN chr(10) ELSE '' END, '' ORDER BY i)
+    FILTER (i >= first_blank AND line NOT LIKE '--%') AS digest FROM marks GROUP BY doc_id)
+SELECT doc_id, replace(substr(scan, 1, 800), chr(10), ' ') AS scan, md5(replace(scan, chr(10), ' ')) AS whole_scan,
+  replace(substr(digest, 1, 300), chr(10), ' ') AS digest, md5(replace(digest, chr(10), ' ')) AS whole_digest FROM text""")
+def shell_previews(v: Inputs):
+    """The two preview forms that work on the lines of the raw message."""
+    raw = F.col("raw")
+    return v.mail_raw.select(
+        "doc_id", M.scan_preview(raw).alias("scan"),
+        F.md5(M.scan_preview(raw, WHOLE)).alias("whole_scan"),
+        M.digest_preview(raw).alias("digest"),
+        F.md5(M.digest_preview(raw, WHOLE)).alias("whole_digest"),
+    )
+
+
 def _as_question_marks(text: str) -> str:
     """SQL: non-ASCII bytes of a header become one replacement character each."""
     mark = "chr(65533)"

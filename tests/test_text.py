@@ -207,3 +207,10 @@ def test_scan_prompt_quotes_clean_fields(spark):
     for part in ("FROM: test@example.com\n", "REPLY-TO: \n", "SUBJECT: Test  Subject\n", "SAFE", "QUARANTINE"):
         assert part in prompt
     assert "b" * 800 in prompt and "b" * 801 not in prompt
+
+
+def test_shell_previews(apply):
+    raw = "A: b\n\none\n--cut\nhidden\n\ntwo\n-- \nrest"
+    assert apply(M.scan_preview, [raw, "A: b", "A: b\n\nx"]) == [" one --cut  two --  ", "", " x"]
+    assert apply(M.digest_preview, [raw, "A: b", "A: b\n\nx"]) == [" one hidden  two rest", "", " x"]
+    assert apply(lambda c: M.digest_preview(c, 3), [raw]) == [" on"]
