@@ -20,7 +20,11 @@ def trailing_count(
     seconds: int = 60,
     block_seconds: int = BLOCK_SECONDS,
 ) -> DataFrame:
-    """Add ``trailing``: requests of the key in the last ``seconds``, lower bound exclusive."""
+    """Add ``trailing``: requests of the key in the last ``seconds``, lower bound exclusive.
+
+    Select the columns you need first: each request is two or three rows of the shuffle, of
+    which one carries its columns.
+    """
     return trailing_sum(
         df, [key], micros(F.col(ts)), tie, seconds, "trailing", block_seconds=block_seconds
     )

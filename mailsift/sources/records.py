@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from mailsift.functions.clean import sanitize_log
+
 LEDGER_LINE = "message_key string, verdict string, reason string"
 LEDGER = LEDGER_LINE + ", scanned_at timestamp"
 STATUS_JSON = (
@@ -41,8 +43,9 @@ def read_ledger_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_ledger_lines(df: DataFrame, path: str) -> None:
-    """Write ledger text lines; reasons are expected to be cleaned, so they hold no ``|``."""
-    line = F.concat_ws("|", "message_key", "verdict", F.substring("reason", 1, 50))
+    """Write ledger text lines, the reason cleaned and cut to 50 characters."""
+    reason = F.translate(sanitize_log(F.col("reason"), 50), "|", " ")
+    line = F.concat_ws("|", "message_key", "verdict", reason)
     df.select(line.alias("value")).write.mode("append").text(path)
 
 
