@@ -29,7 +29,7 @@ def plan(spark, name):
 def test_no_cross_join_and_python_only_where_needed(no_broadcast, name):
     text = plan(no_broadcast, name)
     assert "CartesianProduct" not in text and "NestedLoop" not in text
-    assert ("Python" in text or "InPandas" in text) == (name in PYTHON)
+    assert any(mark in text for mark in ("Python", "InPandas", "InArrow")) == (name in PYTHON)
 
 
 def test_top_n_is_cut_before_the_shuffle(no_broadcast):
