@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from mailsift.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 STREAMS = {
@@ -25,7 +26,7 @@ def plan(spark, name):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - STREAMS))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - STREAMS))
 def test_no_cross_join_and_python_only_where_needed(no_broadcast, name):
     text = plan(no_broadcast, name)
     assert "CartesianProduct" not in text and "NestedLoop" not in text
