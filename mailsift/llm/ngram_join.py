@@ -71,10 +71,10 @@ def block_codes(tokens: np.ndarray, band: int, percent: int) -> np.ndarray:
     """The codes of the first ``d + 1`` blocks of sorted ``tokens``; equal sets give equal codes."""
     m, d = band_plan(band, percent)
     block = ((tokens >> U64(32)) * U64(m)) >> U64(32)  # does not fall, as tokens are sorted
-    used, at = np.unique(block, return_index=True)
-    fold = np.zeros(m, np.uint64)
-    fold[used.astype(np.int64)] = np.bitwise_xor.reduceat(tokens, at)
     filled = np.bincount(block.astype(np.int64), minlength=m)
+    used = np.flatnonzero(filled)
+    fold = np.zeros(m, np.uint64)
+    fold[used] = np.bitwise_xor.reduceat(tokens, (np.cumsum(filled) - filled)[used])
     place = np.arange(m, dtype=np.uint64) + U64(band << 32)
     codes = mix(mix(fold + U64(1)) ^ mix(place * U64(0x9E3779B97F4A7C15) + filled.astype(np.uint64)))
     order = np.lexsort((codes, -filled))
@@ -87,12 +87,17 @@ def parity_sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((bits & 1).astype(np.uint8)).view(np.int64)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def token_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """For each slice its first index and the sorted token set of each text."""
     for first, last, data, offsets in text_slices(texts):
         starts, ends, at = word_spans(data, offsets)
         words = span_hashes(data, starts, ends, lower=True)
-        yield first, [np.unique(shingle_hashes(words[at[i] : at[i + 1]], k)) for i in range(last - first)]
+        yield first, [_distinct(shingle_hashes(words[at[i] : at[i + 1]], k)) for i in range(last - first)]
 
 
 SIGNATURE_SCHEMA = (
@@ -149,8 +154,8 @@ def signature_batches(k: int, percent: int, slice_codes: int = 1_000_000):
                     a, b = 0, 0
                     codes = np.zeros(0, np.uint64)
                     if size:
-                        a = int(np.bitwise_xor.reduce(mix(tokens)).view(np.int64))
-                        b = int(np.add.reduce(mix(tokens ^ U64(0xA5A5A5A5A5A5A5A5))).view(np.int64))
+                        a = int(np.bitwise_xor.reduce(tokens).view(np.int64))
+                        b = int(np.add.reduce(tokens).view(np.int64))
                         if known.setdefault((a, b), int(ids[first + i])) == int(ids[first + i]):
                             codes = np.concatenate([block_codes(tokens, x, percent) for x in bands_for(size, percent)])
                     for put, value in zip(rows, (int(ids[first + i]), size, a, b, codes)):
