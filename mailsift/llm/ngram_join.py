@@ -5,22 +5,26 @@ a token in both sets cancels, so two XOR sketches differ in at most as many plac
 tokens that are not shared. Sets of ``a`` and ``b`` tokens with a Jaccard similarity of at least
 ``p`` per cent differ in at most ``d = (a + b) * (100 - p) / (100 + p)`` tokens. Hence
 
-* **pigeonhole**: deal tokens by hash to ``m = d + k`` blocks and fold each block by XOR to one
-  64-bit code; similar sets agree in at least ``k`` blocks. Sorted by any fixed order of block
-  codes, the first ``d + 1`` codes of either set then share one. The order puts well-filled blocks
-  first, so that empty blocks and those that hold only a token or two of a common passage, which
-  match by chance, are the ones left out. Nothing is lost by it;
+* **pigeonhole**: deal tokens by hash to ``m`` blocks and fold each block by XOR to one code;
+  similar sets agree in at least ``m - d`` blocks. Sorted by any fixed order of block codes, the
+  first ``d + s`` codes of either set then share ``s`` codes at least. The order puts well-filled
+  blocks first, so that empty blocks and those that hold only a token or two of a common passage,
+  which match by chance, are the ones left out. Nothing is lost by it;
 * **size bands**: ``m`` and ``d`` are those of a band of sizes; a set also enters lower bands from
   which a partner can come;
-* **bound**: 1,024-bit parity sketches of two candidates are compared; a Hamming distance above
-  ``d`` rules the pair out without its texts;
+* **bound**: 512-bit parity sketches of two candidates are compared; a Hamming distance above
+  ``d`` rules the pair out without its texts, inside the join on the code;
 * **verify**: what remains is decided on the token sets themselves.
 
 Documents with equal sets are one class from the start. Within a bucket (documents with an equal
 block code) members are first held against the smallest one only. After the links found so far
 are closed to components, pairs of a bucket that lie in different components are compared as well:
 all others are joined already, so no link between components is lost and a large group of near
-copies is never expanded into its pairs. Buckets are reduced to their smallest member within each
+copies is never expanded into its pairs. Before that, a few turns hold the members of each bucket
+that is in several components against another one of it. A code of a common passage can be in very many texts that
+are not similar. As similar sets share ``s`` codes, one with fewer than ``s`` crowded codes shares
+an uncrowded one with each partner; so only documents with ``s`` crowded codes or more, hardly
+anything but common passages, are compared within crowded buckets. Buckets are reduced to their smallest member within each
 slice of the input before the shuffle; a code that very many documents share arrives as one row
 per slice.
 """
@@ -37,8 +41,11 @@ from mailsift.llm.common import U64, mix, shingle_hashes, span_hashes, stored, t
 from mailsift.llm.components import components
 
 BAND_RATIO = 1.4
-SLACK = 0.3  # blocks beyond d + 1, as a share of d
-SKETCH_WORDS = 16
+SHARED, LEFT_OUT = 0.25, 0.15  # codes shared for certain beyond the second, and blocks left out, as shares of d
+PIVOT_TURNS = 2
+CROWDED = 24  # documents of a bucket beyond which its pairs are not simply compared
+SKETCH_WORDS = 8
+SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
 def band_of(size: int) -> int:
@@ -51,11 +58,15 @@ def band_top(i: int) -> int:
     return int(BAND_RATIO**i + 1e-9)
 
 
-def band_plan(i: int, percent: int) -> tuple[int, int]:
-    """``(m, d)`` of band ``i``: no pair whose smaller set is in it differs in more than ``d`` tokens."""
+def band_plan(i: int, percent: int) -> tuple[int, int, int]:
+    """``(m, d, s)`` of band ``i``: no pair whose smaller set is in it differs in more than ``d`` tokens.
+
+    Of ``m`` blocks ``d + s`` give codes, of which such a pair shares ``s``.
+    """
     top = band_top(i)
     d = (top + top * 100 // percent) * (100 - percent) // (100 + percent)
-    return d + 2 + int(SLACK * d), d
+    s = 2 + int(SHARED * d)
+    return d + s + int(LEFT_OUT * d), d, s
 
 
 def bands_for(size: int, percent: int) -> Iterator[int]:
@@ -68,8 +79,13 @@ def bands_for(size: int, percent: int) -> Iterator[int]:
 
 
 def block_codes(tokens: np.ndarray, band: int, percent: int) -> np.ndarray:
-    """The codes of the first ``d + 1`` blocks of sorted ``tokens``; equal sets give equal codes."""
-    m, d = band_plan(band, percent)
+    """The codes of the first ``d + s`` blocks of sorted ``tokens``, with the band in the low six bits.
+
+    A band in which similar sets are equal gives none: equal sets are one class.
+    """
+    m, d, s = band_plan(band, percent)
+    if not d:
+        return np.zeros(0, np.uint64)
     block = ((tokens >> U64(32)) * U64(m)) >> U64(32)  # does not fall, as tokens are sorted
     filled = np.bincount(block.astype(np.int64), minlength=m)
     used = np.flatnonzero(filled)
@@ -78,11 +94,11 @@ def block_codes(tokens: np.ndarray, band: int, percent: int) -> np.ndarray:
     place = np.arange(m, dtype=np.uint64) + U64(band << 32)
     codes = mix(mix(fold + U64(1)) ^ mix(place * U64(0x9E3779B97F4A7C15) + filled.astype(np.uint64)))
     order = np.lexsort((codes, -filled))
-    return codes[order[: d + 1]]
+    return (codes[order[: d + s]] & ~U64(63)) | U64(min(band, 63))
 
 
 def parity_sketch(tokens: np.ndarray) -> np.ndarray:
-    """1,024 parity bits in 16 words."""
+    """512 parity bits in 8 words."""
     bits = np.bincount((tokens & U64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS)
     return np.packbits((bits & 1).astype(np.uint8)).view(np.int64)
 
@@ -178,15 +194,19 @@ def set_batches(k: int):
         for batch in batches:
             ids = batch.column(0)
             for first, sets in token_sets(batch.column(1), k):
+                sketches = np.stack([parity_sketch(x) for x in sets])
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(first, len(sets)), pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([parity_sketch(x) for x in sets], pa.list_(pa.int64())),
+                    *[pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(SKETCH_WORDS)],
                     pa.array([x.tobytes() for x in sets], pa.binary()),
-                ], names=["doc", "n_tokens", "sketch", "tokens"])
+                ], names=["doc", "n_tokens", *SKETCH, "tokens"])
 
     return run
 
 
+SET_SCHEMA = "doc long, n_tokens long, " + "".join(f"{c} long, " for c in SKETCH) + "tokens binary"
+
+
 def verify_batches(percent: int):
     """Batches of (a, b, tokens_a, tokens_b) to the pairs (a, b) that are similar."""
 
@@ -225,8 +245,11 @@ def _bitmap_filter(docs: DataFrame, ids: DataFrame, bits: int = 1 << 24) -> Data
     )
 
 
-def _hamming(x: str, y: str) -> Column:
-    return F.expr(f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, n) -> s + n)")
+def _may_be_similar(x: str, y: str, percent: int) -> Column:
+    """Sizes and the Hamming distance of the sketches allow it; columns are named ``x_n_tokens`` and so on."""
+    a, b = F.col(f"{x}_n_tokens"), F.col(f"{y}_n_tokens")
+    apart = sum((F.bit_count(F.col(f"{x}_{c}").bitwiseXOR(F.col(f"{y}_{c}"))) for c in SKETCH), F.lit(0))
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (apart * (100 + percent) <= (a + b) * (100 - percent))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -263,25 +286,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     involved = stored(members.select("doc").union(members.select("pivot")).distinct(), "involved")
     sets = stored(
         _bitmap_filter(known, involved).join(involved, "doc", "left_semi").select("doc", "text")
-        .mapInArrow(set_batches(k), "doc long, n_tokens long, sketch array<long>, tokens binary"), "sets",
+        .mapInArrow(set_batches(k), SET_SCHEMA), "sets",
     )
 
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        sketches = sets.select("doc", "n_tokens", "sketch")
+    def side(table: DataFrame, x: str, keep: tuple[str, ...] = ()) -> DataFrame:
+        return table.select(*keep, *[F.col(c).alias(x if c == "doc" else f"{x}_{c}") for c in table.columns if c not in keep])
 
-        def side(table: DataFrame, x: str) -> DataFrame:
-            return table.select(*[F.col(c).alias(x if c == "doc" else f"{c}_{x}") for c in table.columns])
+    sketches = sets.drop("tokens")
 
-        total = F.col("n_tokens_a") + F.col("n_tokens_b")
-        close = (
-            pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b")
-            .where(F.least("n_tokens_a", "n_tokens_b") * 100 >= F.greatest("n_tokens_a", "n_tokens_b") * percent)
-            .where(_hamming("sketch_a", "sketch_b") * (100 + percent) <= total * (100 - percent))
-            .select("a", "b")
-        )
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        close = pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").where(
+            _may_be_similar("a", "b", percent)).select("a", "b")
         tokens = sets.select("doc", "tokens")
         return stored(
-            close.join(side(tokens, "a"), "a").join(side(tokens, "b"), "b").select("a", "b", "tokens_a", "tokens_b")
+            close.join(side(tokens, "a"), "a").join(side(tokens, "b"), "b").select("a", "b", "a_tokens", "b_tokens")
             .mapInArrow(verify_batches(percent), "a long, b long"), label,
         )
 
@@ -300,27 +318,54 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             ).withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
         return rows
 
-    apart = labelled(members, "doc", "pivot").where("doc_in <> pivot_in")
-    apart = apart.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-    more = verified(apart, "links-2")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = stored(components(links, "a", "b"), "labels-2")
-
     # Buckets as a whole: members met inside slices and those that stood for the slices.
-    seats = stored(labelled(members.select("code", "doc").union(members.select("code", "pivot")).distinct(), "doc"), "seats")
+    seats = stored(
+        members.select("code", "doc").union(members.select("code", "pivot")).distinct()
+        .join(members.groupBy("doc").agg(F.count("*").alias("weight")), "doc", "left"), "seats")
+    for turn in range(PIVOT_TURNS):
+        # Another member of each open bucket is what the others are held against, first the one with
+        # most near neighbours.
+        placed = stored(labelled(seats, "doc"), f"placed-{turn}")
+        draw = (-F.coalesce("weight", F.lit(0)) if turn == 0 else F.xxhash64("doc", F.lit(turn))).alias("draw")
+        mixed = stored(
+            placed.groupBy("code").agg(
+                F.min("doc_in").alias("lo"), F.max("doc_in").alias("hi"), F.count("*").alias("n"),
+                F.min(F.struct(draw, F.col("doc"), F.col("doc_in"))).alias("pivot"))
+            .where("lo <> hi").select("code", "n", "pivot"), f"mixed-{turn}")
+        apart = placed.join(mixed, "code").where("doc_in <> pivot.doc_in").select(
+            F.least("doc", "pivot.doc").alias("a"), F.greatest("doc", "pivot.doc").alias("b")).distinct()
+        more = verified(apart, f"links-pivot-{turn}")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = stored(components(links, "a", "b"), f"labels-pivot-{turn}")
+    placed = labelled(seats.drop("weight"), "doc")
     mixed = stored(
-        seats.groupBy("code").agg(F.min("doc_in").alias("lo"), F.max("doc_in").alias("hi")).where("lo <> hi").select("code"),
-        "mixed",
-    )
-    open_seats = stored(seats.join(mixed, "code", "left_semi"), "open-seats")
-    left = open_seats.select("code", F.col("doc").alias("x"), F.col("doc_in").alias("x_in"))
-    right = open_seats.select("code", F.col("doc").alias("y"), F.col("doc_in").alias("y_in"))
+        placed.groupBy("code").agg(F.min("doc_in").alias("lo"), F.max("doc_in").alias("hi"), F.count("*").alias("n"))
+        .where("lo <> hi").select("code", "n"), "mixed")
+    seats = stored(placed.join(mixed, "code"), "open-seats")
+    shared = F.element_at(F.array(*[F.lit(band_plan(i, percent)[2]) for i in range(64)]), F.expr("cast(code & 63 as int) + 1"))
+    settled = []
+    for turn in range(3):
+        settled.append(seats.where(F.col("n") <= CROWDED))
+        crowded = seats.where(F.col("n") > CROWDED).drop("n")
+        enough = (
+            crowded.groupBy("doc", F.expr("code & 63").alias("band")).agg(F.count("*").alias("h"), F.first(shared).alias("s"))
+            .where("h >= s").select("doc", "band")
+        )
+        kept = stored(crowded.withColumn("band", F.expr("code & 63")).join(enough, ["doc", "band"], "left_semi").drop("band"),
+                      f"crowded-{turn}")
+        seats = stored(kept.join(kept.groupBy("code").agg(F.count("*").alias("n")), "code"), f"seats-{turn}")
+    open_seats = seats
+    for part in settled:
+        open_seats = open_seats.unionByName(part)
+    near = open_seats.select("code", "doc", "doc_in").join(sketches, "doc")
     across = (
-        left.join(right, "code").where("x_in < y_in")
+        side(near, "x", ("code",)).join(side(near, "y", ("code",)), "code")
+        .where((F.col("x_doc_in") < F.col("y_doc_in")) & _may_be_similar("x", "y", percent))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     )
-    more = verified(across, "links-3")
+    more = verified(stored(across, "across"), "links-3")
     if not more.isEmpty():
         labels = stored(components(links.unionByName(more), "a", "b"), "labels-3")
 
@@ -331,7 +376,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             F.coalesce("component_id", "rep").alias("component_id"),
         ), "near-duplicates",
     )
-    nameless = own.where("doc is null").mapInArrow(set_batches(k), "doc long, n_tokens long, sketch array<long>, tokens binary")
+    nameless = own.where("doc is null").mapInArrow(set_batches(k), SET_SCHEMA)
     return found.unionByName(nameless.select(
         F.col("doc").alias(id_col), F.col("n_tokens").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")
     ))
