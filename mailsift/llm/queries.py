@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsift.llm import chat, exact_dedup, mixing, ngram_join
+from mailsift.llm import (
+    chat, exact_dedup, html_extract, langid, licenses, mixing, ngram_join, packing, pii, quality,
+)
 from mailsift.llm.common import table
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -18,10 +32,31 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.held_out()
+    return langid.identify_languages(docs, train_on=~held_out).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree by source and number; one that begins with a statement is a licence file."""
+    number = F.col("doc_id")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.format_string("%d", F.floor(number / 1000)),
+                       F.format_string("%d", F.floor(number / 100)), F.concat(number.cast("string"), F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").withColumn("path", path)
+    begins = F.substring_index(F.ltrim(F.coalesce("text", F.lit(""))), "\n", 1).rlike(licenses.STEMS)
+    return licenses.scan_licenses(files, is_license_file=begins)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame(
@@ -51,5 +86,10 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op4_ngram_join, op5_mixing, op8_exact_dedup, op10_chat)}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_html_extract, op2_packing, op3_pii, op4_ngram_join, op5_mixing, op6_language, op7_quality,
+        op8_exact_dedup, op9_licenses, op10_chat,
+    )
+}
 SQL = {"op8_exact_dedup": exact_dedup.SQL, "op10_chat": CHAT_SQL}
