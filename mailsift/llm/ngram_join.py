@@ -16,6 +16,9 @@ tokens that are not shared. Sets of ``a`` and ``b`` tokens with a Jaccard simila
   ``d`` rules the pair out without its texts, inside the join on the code;
 * **verify**: what remains is decided on the token sets themselves.
 
+As similar sets share ``s`` codes of a band, a document with fewer codes that any other document
+has is out of that band at once; that sieve leaves little but near copies.
+
 Documents with equal sets are one class from the start. Within a bucket (documents with an equal
 block code) members are first held against the smallest one only. After the links found so far
 are closed to components, pairs of a bucket that lie in different components are compared as well:
@@ -37,12 +40,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from mailsift.llm.common import U64, mix, shingle_hashes, span_hashes, stored, text_slices, word_spans
+from mailsift.llm.common import U64, discard, mix, shingle_hashes, span_hashes, stored, text_slices, word_spans
 from mailsift.llm.components import components
+from mailsift.session import scratch_path
 
 BAND_RATIO = 1.4
-SHARED, LEFT_OUT = 0.25, 0.15  # codes shared for certain beyond the second, and blocks left out, as shares of d
-PIVOT_TURNS = 2
+SHARED, LEFT_OUT = 0.2, 0.1  # codes shared for certain beyond the second, and blocks left out, as shares of d
+PIVOT_TURNS = 3
 CROWDED = 24  # documents of a bucket beyond which its pairs are not simply compared
 SKETCH_WORDS = 8
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
@@ -264,7 +268,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     known = own.where("doc is not null")
-    signatures = stored(known.mapInArrow(signature_batches(k, percent), SIGNATURE_SCHEMA), "signatures")
+    spark, scratch = docs.sparkSession, scratch_path(docs.sparkSession, "signatures")
+    signatures = stored(known.mapInArrow(signature_batches(k, percent), SIGNATURE_SCHEMA), "signatures", scratch)
 
     digest = ["n_tokens", "digest_a", "digest_b"]
     sizes = signatures.select("doc", *digest)
@@ -282,8 +287,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         .where("n > 1").select("code", "doc", "pivot")
     )
     inside = signatures.select("doc", F.explode("near").alias("x")).select("x.code", "doc", "x.pivot")
-    members = stored(buckets.unionByName(inside), "buckets")
-    involved = stored(members.select("doc").union(members.select("pivot")).distinct(), "involved")
+    # Seats: who stands in a bucket, those met inside slices and those that stood for the slices.
+    members = buckets.unionByName(inside)
+    seats = stored(members.select("code", "doc").union(members.select("code", "pivot")).distinct(), "seats")
+    discard(spark, scratch)  # the codes are the bulk of what is stored, and all that matters of them is in the seats
+    band = F.expr("cast(code & 63 as int)").alias("band")
+    shared = F.element_at(F.array(*[F.lit(band_plan(i, percent)[2]) for i in range(64)]), F.col("band") + 1)
+    # Who shares fewer codes of a band than similar sets do has no partner in it.
+    enough = seats.groupBy("doc", band).agg(F.count("*").alias("weight")).where(F.col("weight") >= shared)
+    kept = seats.select("code", "doc", band).join(stored(enough, "enough"), ["doc", "band"]).select("code", "doc", "weight")
+    seats = stored(kept, "sieved")
+    involved = stored(seats.select("doc").distinct(), "involved")
     sets = stored(
         _bitmap_filter(known, involved).join(involved, "doc", "left_semi").select("doc", "text")
         .mapInArrow(set_batches(k), SET_SCHEMA), "sets",
@@ -303,13 +317,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             .mapInArrow(verify_batches(percent), "a long, b long"), label,
         )
 
-    # Only documents that stand in a bucket take part; the rest of their class follows its representative.
-    links = involved.join(classes, "doc").where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    links = stored(links.unionByName(verified(
-        members.where("doc <> pivot").groupBy(F.col("doc").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b"),
-        "links-1",
-    )), "links-1")
-    labels = stored(components(links, "a", "b"), "labels-1")
+    # Only documents that have a seat take part; the rest of their class follows its representative.
+    links = stored(involved.join(classes, "doc").where("doc <> rep").select(
+        F.col("doc").alias("a"), F.col("rep").alias("b")), "links-of-classes")
+    labels = links.select(F.col("a").alias("node"), F.col("b").alias("component_id"))
 
     def labelled(rows: DataFrame, *columns: str) -> DataFrame:
         for c in columns:
@@ -318,42 +329,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             ).withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
         return rows
 
-    # Buckets as a whole: members met inside slices and those that stood for the slices.
-    seats = stored(
-        members.select("code", "doc").union(members.select("code", "pivot")).distinct()
-        .join(members.groupBy("doc").agg(F.count("*").alias("weight")), "doc", "left"), "seats")
     for turn in range(PIVOT_TURNS):
-        # Another member of each open bucket is what the others are held against, first the one with
-        # most near neighbours.
-        placed = stored(labelled(seats, "doc"), f"placed-{turn}")
-        draw = (-F.coalesce("weight", F.lit(0)) if turn == 0 else F.xxhash64("doc", F.lit(turn))).alias("draw")
-        mixed = stored(
+        # The members of each open bucket are held against one of it, first the one with most seats.
+        placed = labelled(seats, "doc")
+        draw = (-F.col("weight") if turn < 2 else F.xxhash64("doc", F.lit(turn))).alias("draw")
+        pivots = stored(
             placed.groupBy("code").agg(
-                F.min("doc_in").alias("lo"), F.max("doc_in").alias("hi"), F.count("*").alias("n"),
+                F.min("doc_in").alias("lo"), F.max("doc_in").alias("hi"),
                 F.min(F.struct(draw, F.col("doc"), F.col("doc_in"))).alias("pivot"))
-            .where("lo <> hi").select("code", "n", "pivot"), f"mixed-{turn}")
-        apart = placed.join(mixed, "code").where("doc_in <> pivot.doc_in").select(
-            F.least("doc", "pivot.doc").alias("a"), F.greatest("doc", "pivot.doc").alias("b")).distinct()
-        more = verified(apart, f"links-pivot-{turn}")
-        if more.isEmpty():
+            .where("lo <> hi").select("code", "pivot"), f"pivots-{turn}")
+        apart = placed.join(pivots, "code").where("doc_in <> pivot.doc_in").groupBy(
+            "doc", F.col("pivot.doc").alias("pivot")).agg(F.count("*").alias("n"))
+        if turn == 0:  # one for each: the pivot of most of its codes
+            apart = apart.groupBy("doc").agg(F.max(F.struct("n", "pivot")).alias("x")).select("doc", "x.pivot")
+        more = verified(apart.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct(),
+                        f"links-{turn}")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = stored(components(links, "a", "b"), f"labels-{turn}")
+        elif turn:
             break
-        links = links.unionByName(more)
-        labels = stored(components(links, "a", "b"), f"labels-pivot-{turn}")
     placed = labelled(seats.drop("weight"), "doc")
     mixed = stored(
         placed.groupBy("code").agg(F.min("doc_in").alias("lo"), F.max("doc_in").alias("hi"), F.count("*").alias("n"))
         .where("lo <> hi").select("code", "n"), "mixed")
     seats = stored(placed.join(mixed, "code"), "open-seats")
-    shared = F.element_at(F.array(*[F.lit(band_plan(i, percent)[2]) for i in range(64)]), F.expr("cast(code & 63 as int) + 1"))
     settled = []
     for turn in range(3):
         settled.append(seats.where(F.col("n") <= CROWDED))
         crowded = seats.where(F.col("n") > CROWDED).drop("n")
         enough = (
-            crowded.groupBy("doc", F.expr("code & 63").alias("band")).agg(F.count("*").alias("h"), F.first(shared).alias("s"))
-            .where("h >= s").select("doc", "band")
+            crowded.groupBy("doc", band).agg(F.count("*").alias("h")).where(F.col("h") >= shared).select("doc", "band")
         )
-        kept = stored(crowded.withColumn("band", F.expr("code & 63")).join(enough, ["doc", "band"], "left_semi").drop("band"),
+        kept = stored(crowded.select("*", band).join(enough, ["doc", "band"], "left_semi").drop("band"),
                       f"crowded-{turn}")
         seats = stored(kept.join(kept.groupBy("code").agg(F.count("*").alias("n")), "code"), f"seats-{turn}")
     open_seats = seats
@@ -365,9 +373,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         .where((F.col("x_doc_in") < F.col("y_doc_in")) & _may_be_similar("x", "y", percent))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     )
-    more = verified(stored(across, "across"), "links-3")
+    more = verified(across, "links-across")
     if not more.isEmpty():
-        labels = stored(components(links.unionByName(more), "a", "b"), "labels-3")
+        labels = stored(components(links.unionByName(more), "a", "b"), "labels-across")
 
     of_class = labels.select(F.col("node").alias("rep"), "component_id")
     found = stored(
