@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from mailsift.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 U64 = np.uint64
 
 
@@ -103,7 +103,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False,
-                block: int = 4 << 20) -> np.ndarray:
+                block: int = 1 << 20) -> np.ndarray:
     """A 64-bit hash of the bytes of each span; ``lower`` reads A-Z as a-z. Spans are in order.
 
     Prefix sums of a polynomial give all spans at once. A long input is walked in blocks: a span
