@@ -92,33 +92,52 @@ def _counts_and_first(
 
 
 def category_rollup(
-    messages: DataFrame, category: str = "category", max_items: int = MAX_ITEMS
+    messages: DataFrame, max_items: int, category: str = "category"
 ) -> DataFrame:
-    """Messages per mailbox, category and sender domain with the newest subjects.
+    """Messages per mailbox, category and sender domain with the ``max_items`` newest subjects.
 
     Sections without messages do not appear.
     """
-    subject = sanitize_prompt(F.col("subject"), 100)
-    rows = messages.select(
+    return _counts_and_first(
+        _by_section(messages, category), ("mailbox", "category", "sender_domain"), _subject(), max_items
+    )
+
+
+def category_list(messages: DataFrame, category: str = "category") -> DataFrame:
+    """Every message in its section: ``mailbox, category, sender_domain, received_at, message_key, item``."""
+    return _by_section(messages, category).withColumn("item", _subject()).drop("subject")
+
+
+def _subject() -> Column:
+    return sanitize_prompt(F.col("subject"), 100)
+
+
+def _by_section(messages: DataFrame, category: str) -> DataFrame:
+    return messages.select(
         "mailbox", F.col(category).alias("category"),
         domain_of(F.col("from_addr")).alias("sender_domain"),
         "received_at", "message_key", "subject",
     )
-    return _counts_and_first(rows, ("mailbox", "category", "sender_domain"), subject, max_items)
 
 
-def quarantine_summary(messages: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
-    """Per mailbox the number of blocked messages and the newest, with sender and reason.
+def quarantine_summary(messages: DataFrame, max_items: int) -> DataFrame:
+    """Per mailbox the number of blocked messages and the ``max_items`` newest, with sender and reason.
 
-    ``messages`` are quarantined messages with a ``reason``; the full list is the table itself.
+    ``messages`` are quarantined messages with a ``reason``.
     """
-    item = F.concat_ws(
-        " | ",
-        sanitize_prompt(F.col("subject"), 100),
-        sanitize_prompt(F.col("from_addr"), 100),
-        F.coalesce(F.col("reason"), F.lit("")),
-    )
     rows = messages.select(
         "mailbox", "received_at", "message_key", "subject", "from_addr", "reason"
     )
-    return _counts_and_first(rows, ("mailbox",), item, max_items)
+    return _counts_and_first(rows, ("mailbox",), _blocked_item(), max_items)
+
+
+def quarantine_list(messages: DataFrame) -> DataFrame:
+    """Every blocked message: ``mailbox, received_at, message_key, item``."""
+    return messages.select("mailbox", "received_at", "message_key", _blocked_item().alias("item"))
+
+
+def _blocked_item() -> Column:
+    return F.concat_ws(
+        " | ", _subject(), sanitize_prompt(F.col("from_addr"), 100),
+        F.coalesce(F.col("reason"), F.lit("")),
+    )

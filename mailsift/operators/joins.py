@@ -2,28 +2,43 @@
 
 No broadcast is forced: Spark broadcasts a side only while its measured size is below
 ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles, where adaptive execution
-splits the partitions of a hot key. That needs the other side to hold each key once, so every
-look-up side is reduced to one row per key before the join (same key, hence no extra shuffle).
+splits the partitions of a hot key. It only does so where both sides come straight from the
+join's own shuffle, so a look-up side that was aggregated by the key is joined on ``_own`` forms
+of it: one more shuffle of its few rows, and the hot key of the large side can be split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mailsift.functions.risk import domain_labels, plain_letters
 
 
+def _own(key: Column) -> Column:
+    """The key as a value that no aggregate has partitioned by."""
+    return F.struct(key.alias("k"))
+
+
+def _join_aggregated(df: DataFrame, side: DataFrame, key: str, how: str) -> DataFrame:
+    """Join with a side that has one row per key; null keys match nothing."""
+    other = side.where(F.col(key).isNotNull()).withColumnRenamed(key, "_key")
+    return df.join(other, _own(df[key]) == _own(other["_key"]), how).drop("_key")
+
+
 def unprocessed(df: DataFrame, ledger: DataFrame, key: str = "message_key") -> DataFrame:
     """Messages whose key is not in the ledger."""
-    return df.join(ledger.select(key).distinct(), key, "left_anti")
+    return df.join(ledger.select(key), key, "left_anti")
 
 
 def with_retry_count(
     df: DataFrame, counters: DataFrame, key: str = "message_key", count: str = "retries"
 ) -> DataFrame:
-    """Add the retry counter, 0 where there is none."""
+    """Add the retry counter, 0 where there is none.
+
+    A counter only grows until it is cleared, so of several for one key the largest holds.
+    """
     per_key = counters.groupBy(key).agg(F.max(count).alias(count))
-    return df.join(per_key, key, "left").withColumn(
+    return _join_aggregated(df, per_key, key, "left").withColumn(
         count, F.coalesce(F.col(count), F.lit(0).cast("bigint"))
     )
 
@@ -63,12 +78,12 @@ def audit_landed(
 
 def purgeable(upstream: DataFrame, audit: DataFrame, key: str = "message_key") -> DataFrame:
     """Upstream messages that have a verified local copy."""
-    return upstream.join(audit.where("audit = 'ok'").select(key), key, "left_semi")
+    return _join_aggregated(upstream, audit.where("audit = 'ok'").select(key), key, "left_semi")
 
 
 def not_purgeable(upstream: DataFrame, audit: DataFrame, key: str = "message_key") -> DataFrame:
     """The complement of :func:`purgeable`: these stay upstream."""
-    return upstream.join(audit.where("audit = 'ok'").select(key), key, "left_anti")
+    return _join_aggregated(upstream, audit.where("audit = 'ok'").select(key), key, "left_anti")
 
 
 def resolve_mailbox(
@@ -76,12 +91,12 @@ def resolve_mailbox(
 ) -> DataFrame:
     """Mailbox of each recipient; unknown recipients go to the catch-all mailbox.
 
-    ``users`` has columns ``recipient`` and ``mailbox``.
+    ``users`` has columns ``recipient`` and ``mailbox``. A recipient with several mailboxes is an
+    alias: the message has one row for each of them. Rows that repeat a pair count once.
     """
     known = users.select(
         F.lower("recipient").alias("_recipient"), F.col("mailbox").alias("_mailbox")
-    )
-    known = known.groupBy("_recipient").agg(F.min("_mailbox").alias("_mailbox"))
+    ).distinct()
     joined = df.join(known, F.lower(F.col(recipient)) == F.col("_recipient"), "left")
     return joined.withColumn(
         "mailbox", F.coalesce(F.col("_mailbox"), F.lit(catch_all))

@@ -135,9 +135,10 @@ SELECT user_id AS mailbox, event_id AS id, ts, event_type,
 FROM {events}
 """
 
+# Every ninth line has no time stamp.
 SCAN_LOG = """
 SELECT user_id AS mailbox, event_id AS id, CONCAT(
-  '[', CAST(DATE_TRUNC('second', ts) AS STRING), '] ',
+  CASE WHEN event_id % 9 = 0 THEN '' ELSE CONCAT('[', CAST(DATE_TRUNC('second', ts) AS STRING), '] ') END,
   CASE event_type WHEN 'view' THEN CONCAT('SCAN: Subject ', CAST(event_id AS STRING))
     WHEN 'click' THEN CONCAT('  -> SAFE | Newsletter ', CAST(event_id AS STRING))
     WHEN 'purchase' THEN '  -> QUARANTINE | Look-alike domain'
@@ -167,11 +168,13 @@ WHERE e.event_type = 'purchase' AND c.c_mktsegment <> 'BUILDING'
 GROUP BY e.user_id
 """
 
-# Known recipients: customers in credit.
+# Known recipients: customers in credit; every third box is also archived.
 USERS = """
 SELECT CONCAT('box', CAST(b.mailbox AS STRING), '@mail.example.com') AS recipient,
   CONCAT('user', CAST(b.mailbox AS STRING)) AS mailbox
 FROM {mailboxes} b JOIN {customer} c ON b.mailbox = c.c_custkey WHERE c.c_acctbal >= 0
+UNION ALL
+SELECT CONCAT('box', CAST(mailbox AS STRING), '@mail.example.com'), 'archive' FROM {mailboxes} WHERE mailbox % 3 = 0
 """
 
 VIEWS = {

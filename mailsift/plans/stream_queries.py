@@ -22,10 +22,13 @@ from mailsift.streaming import keyed, triage
 
 
 def table_stream(v: Inputs, name: str) -> DataFrame:
-    """A given table as a stream."""
+    """A given table, one file or a folder of part files, as a stream.
+
+    The path is a pattern because a plain path of a stream has to be a folder.
+    """
     schema = v.spark.read.parquet(f"{v.sf_dir}/{name}.parquet").schema
-    options = {"pathGlobFilter": f"{name}.parquet", "maxFilesPerTrigger": 1}
-    return v.spark.readStream.schema(schema).options(**options).parquet(v.sf_dir)
+    reader = v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    return reader.parquet(f"{v.sf_dir}/{{{name}}}.parquet")
 
 
 def run(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
@@ -128,6 +131,21 @@ def write_dispositions(v: Inputs):
     return v.spark.read.parquet(path)
 
 
+@query("mail", sql="""
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'delivered' ELSE 'quarantine' END AS disposition FROM mail
+UNION ALL SELECT -doc_id - 1, 'delivered' FROM mail""")
+def replayed_batch(v: Inputs):
+    """Two batches of all messages; the first is replayed with other verdicts, which then hold alone."""
+    path = scratch_path(v.spark, "replayed")
+    first = v.mail.select("doc_id", F.lit("quarantine").alias("disposition"))
+    again = v.mail.select(
+        "doc_id", F.when(F.col("doc_id") % 2 == 0, "delivered").otherwise("quarantine").alias("disposition"))
+    later = v.mail.select((-F.col("doc_id") - 1).alias("doc_id"), F.lit("delivered").alias("disposition"))
+    for batch_id, rows in ((1, first), (2, later), (1, again)):
+        mail.write_disposition_batch(rows, batch_id, path)
+    return v.spark.read.schema("doc_id bigint, batch_id bigint, disposition string").parquet(path).drop("batch_id")
+
+
 @query("ledger", sql="""
 SELECT message_key, verdict, reason, epoch_us(scanned_at) AS scanned_us, verdict || '|' || reason AS line FROM ledger""")
 def ledger(v: Inputs):

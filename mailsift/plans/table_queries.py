@@ -12,6 +12,7 @@ from mailsift.plans import briefing, sqltext as S
 from mailsift.plans.registry import Inputs, query
 from mailsift.plans.text_queries import labelled_path
 from mailsift.sources import records
+from mailsift.sources.mail import DIGEST_FOLDERS
 
 DAY = 86_400
 
@@ -256,18 +257,18 @@ def first_n_per_mailbox(v: Inputs):
 
 
 @query("mail", sql="""
-SELECT folder, count(*) AS messages FROM mail WHERE folder IN ('cur', 'new', '.Quarantine/cur') GROUP BY ALL""")
+SELECT folder, count(*) AS messages FROM mail GROUP BY ALL""")
 def folder_union(v: Inputs):
     mail = v.mail
-    folders = [mail.where(F.col("folder") == f) for f in ("cur", "new", ".Quarantine/cur")]
+    folders = [mail.where(F.col("folder") == f) for f in DIGEST_FOLDERS]
     return filters.folder_union(*folders).groupBy("folder").agg(F.count("*").alias("messages"))
 
 
 @query("mail", sql="""
-SELECT doc_id, CASE WHEN folder = 'new' THEN 1 ELSE 0 END AS priority FROM mail WHERE folder IN ('cur', 'new')""")
+SELECT doc_id, CASE WHEN folder = 'new' THEN 1 ELSE 0 END AS priority FROM mail""")
 def retry_first(v: Inputs):
     mail = v.mail.select("doc_id", "folder")
-    rows = filters.retry_first(mail.where("folder = 'cur'"), mail.where("folder = 'new'"))
+    rows = filters.retry_first(mail.where("folder <> 'new'"), mail.where("folder = 'new'"))
     return rows.select("doc_id", "priority")
 
 
@@ -275,7 +276,7 @@ def retry_first(v: Inputs):
 
 
 @query(sql="""
-SELECT user_id AS mailbox, event_id AS id, epoch_us(date_trunc('second', ts)) AS ts_us,
+SELECT user_id AS mailbox, event_id AS id, CASE WHEN event_id % 9 <> 0 THEN epoch_us(date_trunc('second', ts)) END AS ts_us,
   CASE event_type WHEN 'view' THEN 'scan' WHEN 'signup' THEN 'rate_limited' WHEN 'error' THEN 'error' ELSE 'verdict' END AS kind,
   CASE event_type WHEN 'click' THEN 'SAFE' WHEN 'purchase' THEN 'QUARANTINE' END AS verdict,
   CASE event_type WHEN 'click' THEN 'Newsletter ' || event_id WHEN 'purchase' THEN 'Look-alike domain' END AS reason,
@@ -441,6 +442,23 @@ def quarantine_summary(v: Inputs):
     return rows.withColumn("items", F.array_join("items", "; "))
 
 
+@query("mail", sql=f"""
+SELECT mailbox, {S.CATEGORY} AS category, {S.domain('from_addr')} AS sender_domain, epoch_us(received_at) AS received_us,
+  message_id AS message_key, {S.prompt('subject', 100)} AS item FROM mail""")
+def category_list(v: Inputs):
+    rows = digest.category_list(_digest_mail(v))
+    return rows.withColumn("received_us", micros(F.col("received_at"))).drop("received_at")
+
+
+@query("mail", sql=f"""
+SELECT mailbox, epoch_us(received_at) AS received_us, message_id AS message_key,
+  concat_ws(' | ', {S.prompt("subject", 100)}, {S.prompt("from_addr", 100)}, {S.reason_of("reply")}) AS item
+FROM mail WHERE folder = '.Quarantine/cur'""")
+def quarantine_list(v: Inputs):
+    rows = digest.quarantine_list(_digest_mail(v).where("folder_label = 'QUARANTINE'"))
+    return rows.withColumn("received_us", micros(F.col("received_at"))).drop("received_at")
+
+
 @query("queue", "mailboxes", "status", "probe", "mail", sql=f"""
 WITH {_INPUTS}, {_CHECKS}, {_DIGEST}, {_rollup_sql(_ISSUES, _WARNINGS).replace("SELECT mailbox, issues, warnings,", ", rollup AS (SELECT mailbox,", 1)}),
 totals AS (SELECT mailbox, count(*) AS total, count(*) FILTER (folder = '.Quarantine/cur') AS quarantined FROM mail

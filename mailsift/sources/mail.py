@@ -125,11 +125,13 @@ def write_dispositions(df: DataFrame, path: str) -> None:
 
 
 def write_disposition_batch(df: DataFrame, batch_id: int, path: str) -> None:
-    """Write one micro-batch; a replay of the batch replaces exactly its own partitions."""
+    """Write one micro-batch into the folder of its own that the table reads as ``batch_id``.
+
+    A replay replaces the whole folder, also where it decides otherwise than the first run did.
+    """
     (
-        df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", "disposition").parquet(path)
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        .partitionBy("disposition").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
     )
 
 

@@ -76,15 +76,16 @@ def read_status(df: DataFrame, report: str = "status") -> DataFrame:
 def parse_scan_log(df: DataFrame, line: str = "value") -> DataFrame:
     """Event table of scanner log lines.
 
-    ``ts, kind, verdict, reason, detail, is_error``; lines without a time stamp are dropped.
+    ``ts, kind, verdict, reason, detail, is_error``; a line without a time stamp, such as one of a
+    stack trace, is kept with a null ``ts``. Null lines are dropped.
     """
-    parts = F.regexp_extract(F.col(line), r"^\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\] (.*)$", 1)
+    stamp = r"^\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\] "
     kept = [c for c in df.columns if c != line]
-    rows = df.select(
+    rows = df.where(F.col(line).isNotNull()).select(
         *kept,
-        F.nullif(parts, F.lit("")).alias("_ts"),
-        F.regexp_extract(F.col(line), r"^\[[^\]]*\] (.*)$", 1).alias("_text"),
-    ).where(F.col("_ts").isNotNull())
+        F.nullif(F.regexp_extract(F.col(line), stamp, 1), F.lit("")).alias("_ts"),
+        F.regexp_replace(F.col(line), stamp, "").alias("_text"),
+    )
     text = F.col("_text")
     is_error = text.contains("ERROR")
     kind = F.when(is_error, "error")

@@ -47,11 +47,17 @@ class _Retries(StatefulProcessor):
         pass
 
 
+def _types(df: DataFrame, *columns: str) -> str:
+    """Columns with the types they have in ``df``, as the start of a schema."""
+    types = dict(df.dtypes)
+    return ", ".join(f"{c} {types[c]}" for c in columns)
+
+
 def retry_stream(attempts: DataFrame, max_retries: int = 20) -> DataFrame:
     """Retry counters that survive a restart; ``attempts`` has key, id, ts_us, ok."""
     return attempts.groupBy("key").transformWithStateInPandas(
         statefulProcessor=_Retries(max_retries),
-        outputStructType="key bigint, id bigint, attempt bigint, outcome string",
+        outputStructType=_types(attempts, "key", "id") + ", attempt bigint, outcome string",
         outputMode="Append",
         timeMode="None",
     )
@@ -83,7 +89,7 @@ def rate_limit_stream(requests: DataFrame, limit: int = 30, seconds: int = 60) -
     """
     return requests.groupBy("key").transformWithStateInPandas(
         statefulProcessor=_RateLimit(limit, seconds),
-        outputStructType="key bigint, id bigint, admitted boolean",
+        outputStructType=_types(requests, "key", "id") + ", admitted boolean",
         outputMode="Append",
         timeMode="None",
     )
@@ -143,7 +149,7 @@ def staleness_stream(fetches: DataFrame, delay: str = "10 minutes") -> DataFrame
     """
     return fetches.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(
         statefulProcessor=_Staleness(),
-        outputStructType="key bigint, last_fetch_ms bigint, level string",
+        outputStructType=_types(fetches, "key") + ", last_fetch_ms bigint, level string",
         outputMode="Append",
         timeMode="EventTime",
     )

@@ -2,13 +2,16 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from mailsift.operators import joins
 from mailsift.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 STREAMS = {
     "read_mail_folders", "land_messages", "read_staging_stream", "triage_stream", "dedupe_stream",
-    "retry_stream", "rate_limit_stream", "staleness_stream", "digest_window", "write_dispositions",
+    "retry_stream", "rate_limit_stream", "staleness_stream", "digest_window", "write_dispositions", "replayed_batch",
     "ledger",
 }
 PYTHON = {"decode_encoded_words", "parse_messages", "score_messages", "rate_limit_drop"}
@@ -33,6 +36,36 @@ def test_no_cross_join_and_python_only_where_needed(no_broadcast, name):
     assert any(mark in text for mark in ("Python", "InPandas", "InArrow")) == (name in PYTHON)
 
 
+SKEWED = {
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+}
+
+
+def test_a_hot_key_is_split_in_every_keyed_join(no_broadcast):
+    spark = no_broadcast
+    for key, value in SKEWED.items():
+        spark.conf.set(key, value)
+    hot = F.when(F.col("id") % 10 < 7, F.lit("hot")).otherwise(F.col("id").cast("string"))
+    mail = spark.range(0, 120_000, 1, 8).select("id", hot.alias("message_key"), hot.alias("recipient"))
+    side = spark.range(0, 2_000, 1, 4).select(F.col("id").cast("string").alias("message_key"), F.lit("ok").alias("audit"))
+    some = side.groupBy("message_key").agg(F.max("audit").alias("audit"), F.count("*").alias("retries"))
+    users = some.select(F.col("message_key").alias("recipient"), F.col("audit").alias("mailbox"))
+    made = {
+        "unprocessed": joins.unprocessed(mail, side), "with_retry_count": joins.with_retry_count(mail, some),
+        "purgeable": joins.purgeable(mail, some), "not_purgeable": joins.not_purgeable(mail, some),
+        "resolve_mailbox": joins.resolve_mailbox(mail, users, "rest"),
+    }
+    try:
+        for name, df in made.items():
+            df.collect()
+            assert "skew=true" in df._jdf.queryExecution().executedPlan().toString(), name
+    finally:
+        for key in SKEWED:
+            spark.conf.unset(key)
+
+
 def test_top_n_is_cut_before_the_shuffle(no_broadcast):
     for name in ("first_n_per_mailbox", "mail_digest", "category_rollup", "quarantine_summary"):
         assert "WindowGroupLimit" in plan(no_broadcast, name).rpartition("Exchange")[2] or (

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailsift.operators import scoring, windows
+from mailsift.plans import catalog
 from mailsift.sources import mail
 from mailsift.streaming import keyed, triage
 
@@ -59,6 +60,25 @@ def test_retry_counters_survive_a_restart(spark, tmp_path):
     assert [(r["attempt"], r["outcome"]) for r in got] == [(1, "retry"), (2, "retry"), (3, "failed")]
 
 
+def test_string_keys(spark, tmp_path):
+    schema = "key string, id string, ts timestamp, ts_us bigint, ok boolean, fetch_ms bigint"
+    rows = [("m-1", "a", T0, 1, False, 1), ("m-1", "b", T0, 2, True, 2)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    for name, made in (("retry", keyed.retry_stream(stream.drop("ts"))), ("rate", keyed.rate_limit_stream(stream.drop("ts"), 1))):
+        run(made, f"{tmp_path}/{name}")
+        assert {(r["key"], r["id"]) for r in spark.read.parquet(f"{tmp_path}/{name}/out").collect()} == {("m-1", "a"), ("m-1", "b")}
+    assert dict(keyed.staleness_stream(stream).dtypes)["key"] == "string"
+
+
+def test_tables_stream_as_one_file_or_many(spark, tmp_path):
+    table = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    table.repartition(4).write.parquet(f"{tmp_path}/many/events.parquet")
+    for sf_dir in ("/root/testdata/sf0.001", f"{tmp_path}/many"):
+        got = catalog.QUERIES["dedupe_stream"](spark, sf_dir)
+        assert got.count() == table.select("user_id", "event_type").distinct().count()
+
+
 def test_rate_limit_equals_the_batch_form(spark, split, tmp_path):
     run(keyed.rate_limit_stream(source(spark, split).select("key", "id", "ts_us"), 3, 3600), tmp_path)
     got = spark.read.parquet(f"{tmp_path}/out").select("id", "admitted")
@@ -124,6 +144,14 @@ def test_replayed_batch_replaces_itself(spark, tmp_path):
     assert triage.read_dispositions(spark, f"{tmp_path}/t").count() == 4
 
 
+def test_replay_with_other_verdicts(spark, tmp_path):
+    for verdict in ("quarantine", "delivered"):
+        rows = spark.createDataFrame([("m1", verdict)], "message_key string, disposition string")
+        mail.write_disposition_batch(rows, 5, f"{tmp_path}/t")
+    got = triage.read_dispositions(spark, f"{tmp_path}/t").collect()
+    assert [(r["message_key"], r["batch_id"], r["disposition"]) for r in got] == [("m1", 5, "delivered")]
+
+
 def test_disposition_stream_and_dedupe(spark, split, tmp_path):
     rows = source(spark, split).select(
         F.col("key").cast("string").alias("message_key"), F.col("ts").alias("received_at"), F.lit("delivered").alias("disposition"))

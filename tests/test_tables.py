@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from mailsift.functions import risk
 from mailsift.operators import digest, filters, health, joins
 from mailsift.sources import mail, records
 
@@ -102,6 +103,29 @@ def test_catch_all_mailbox(spark):
     assert got == {"A@x": "ann", "b@x": "rest", None: "rest"}
 
 
+def test_alias_reaches_every_mailbox(spark):
+    df = spark.createDataFrame([("all@x",), ("b@x",)], "recipient string")
+    users = spark.createDataFrame([("all@x", "ann"), ("ALL@x", "bob"), ("all@x", "bob")], "recipient string, mailbox string")
+    got = sorted((r["recipient"], r["mailbox"]) for r in joins.resolve_mailbox(df, users, "rest").collect())
+    assert got == [("all@x", "ann"), ("all@x", "bob"), ("b@x", "rest")]
+
+
+def test_keyed_joins_with_null_keys(spark):
+    df = spark.createDataFrame([("a",), (None,)], "message_key string")
+    side = spark.createDataFrame([("a", 3), ("a", 2), (None, 9)], "message_key string, retries bigint")
+    assert {r[0]: r[1] for r in joins.with_retry_count(df, side).collect()} == {"a": 3, None: 0}
+    audit = side.select("message_key", F.lit("ok").alias("audit"))
+    assert [r[0] for r in joins.not_purgeable(df, audit).collect()] == [None]
+    assert [r[0] for r in joins.unprocessed(df, side).collect()] == [None]
+
+
+def test_long_brand_lists(spark):
+    brands = [f"brand{i:03d}" for i in range(300)] + ["paypal"]
+    df = spark.createDataFrame([("paypa1.com",), ("paypal.com",), ("other.org",)], "domain string")
+    assert [r[0] for r in df.select(risk.lookalike(F.col("domain"), brands)).collect()] == [True, False, False]
+    assert not df.where(risk.lookalike(F.col("domain"), [])).count()
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -195,7 +219,8 @@ def test_scan_log(spark):
         "[2024-01-01 10:00:02]   LMTP ERROR: 451", "[2024-01-01 10:00:03]   FAILED: Max retries", "no stamp",
         "[2024-01-01 10:00:04] Startup complete",
     ]
-    got = records.parse_scan_log(spark.createDataFrame([(x,) for x in lines], "value string")).orderBy("ts").collect()
+    got = records.parse_scan_log(spark.createDataFrame([(x,) for x in lines], "value string")).orderBy(F.col("ts").asc_nulls_last()).collect()
+    assert (got[-1]["detail"], got.pop()["kind"]) == ("no stamp", "other")
     assert [r["kind"] for r in got] == ["scan", "verdict", "error", "failed", "other"]
     assert (got[1]["verdict"], got[1]["reason"]) == ("SAFE", "ok then")
     assert [r["is_error"] for r in got] == [False, False, True, False, False]
