@@ -91,11 +91,14 @@ def digest_preview(raw: Column, n: int = 300) -> Column:
 def recipient_address(to: Column) -> Column:
     """Bare address out of ``Name <a@b>``, ``<a@b>`` or ``a@b``; otherwise the input.
 
-    Lists of several addresses are not split; they come back unchanged.
+    Comments in round brackets before or after the address are left out. Lists of several
+    addresses are not split; they come back unchanged.
     """
     angle = r'(?:"(?:[^"\\]|\\.)*+"|[^<>",]*)\s*<\s*([^<>\s,]+)\s*>'
     bare = r'([^<>\s,;:"()]+@[^<>\s,;:"()]+)'
-    return F.regexp_replace(to, rf"^\s*(?:{angle}|{bare})\s*$", "$1$2")
+    comments = r"(?:\s*\((?:[^()\\]|\\.)*+\))*+"
+    return F.regexp_replace(
+        to, rf"^{comments}\s*(?:{angle}|{bare}){comments}\s*$", "$1$2")
 
 
 def original_recipient(raw: Column) -> Column:

@@ -50,22 +50,25 @@ def reply_paths(messages: DataFrame, top: int | None = None, max_depth_log2: int
     rooted = stored(
         own.join(known.withColumnRenamed("parent", "found"), F.col("parent") == F.col("found"), "left")
         .select("tree", "id", F.col("found").alias("up"), "score"), "messages")
-    # Each row knows its ancestor `up` at distance `span` and the score and depth of what lies below it.
+    # Each row knows its ancestor `up` at distance 2**k and the score and depth of what lies below it.
+    # A row that has reached its root is done and is not joined again, so short chains cost few rows
+    # however long the longest one is.
     step = rooted.select("tree", "id", "up", F.col("score").alias("sum"), F.lit(1).cast("long").alias("depth"))
-    links = [stored(step, "ancestors-0")]
+    total, jumps = stored(step, "ancestors-0"), []
     for k in range(max_depth_log2):
-        if links[-1].where("up is not null").isEmpty():
+        climbing = total.where("up is not null")
+        if climbing.isEmpty():
             break
-        lower, upper = links[-1].alias("l"), links[-1].alias("u")
-        links.append(stored(
-            lower.join(upper, F.col("l.up") == F.col("u.id"), "left").select(
-                "l.tree", "l.id", F.col("u.up").alias("up"),
-                (F.col("l.sum") + F.coalesce("u.sum", F.lit(0.0))).alias("sum"),
-                (F.col("l.depth") + F.coalesce("u.depth", F.lit(0))).alias("depth"),
-            ), f"ancestors-{k + 1}"))
+        jumps.append(climbing.select("id", "up"))
+        lower, upper = climbing.alias("l"), total.alias("u")
+        moved = stored(
+            lower.join(upper, F.col("l.up") == F.col("u.id")).select(
+                "l.tree", "l.id", F.col("u.up").alias("up"), (F.col("l.sum") + F.col("u.sum")).alias("sum"),
+                (F.col("l.depth") + F.col("u.depth")).alias("depth"),
+            ), f"ancestors-{k + 1}")
+        total = total.where("up is null").unionByName(moved)
     else:
         raise ValueError("a reply cycle has no root")
-    total = links[-1]
     inner = rooted.select(F.col("up").alias("id")).where("id is not null").distinct()
     leaves = total.join(inner, "id", "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("sum"), "id")
@@ -74,10 +77,9 @@ def reply_paths(messages: DataFrame, top: int | None = None, max_depth_log2: int
         ranked = ranked.where(F.col("rank") <= top)
     # From the leaf upwards: what stands at a distance of 2**k of what is known is known next.
     path = stored(ranked.select("tree", F.col("id").alias("leaf"), "rank", F.col("sum").alias("score"), "id"), "path-0")
-    for k, step in enumerate(reversed(links[:-1])):
-        jump = step.where("up is not null").select("id", "up")
-        path = stored(path.unionByName(
-            path.join(jump, "id").select("tree", "leaf", "rank", "score", F.col("up").alias("id"))), f"path-{k + 1}")
+    for k, jump in enumerate(reversed(jumps)):
+        path = path.unionByName(stored(
+            path.join(jump, "id").select("tree", "leaf", "rank", "score", F.col("up").alias("id")), f"path-{k + 1}"))
     return path.join(total.select("id", "depth"), "id").select("tree", "leaf", "rank", "score", "depth", "id")
 
 

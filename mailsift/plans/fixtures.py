@@ -24,7 +24,7 @@ SELECT d.doc_id, e.user_id AS mailbox, e.ts AS received_at, e.event_type,
     WHEN 0 THEN CONCAT('svc-', UPPER(d.lang), '@mail.example.com')
     WHEN 1 THEN CONCAT('Box ', CAST(e.user_id AS STRING), ' <box', CAST(e.user_id AS STRING), '@mail.example.com>')
     WHEN 2 THEN CONCAT('<box', CAST(e.user_id AS STRING), '@mail.example.com>')
-    ELSE CONCAT('box', CAST(e.user_id AS STRING), '@mail.example.com')
+    ELSE CONCAT('box', CAST(e.user_id AS STRING), '@mail.example.com', CASE WHEN d.doc_id % 8 = 3 THEN ' (Box)' ELSE '' END)
   END AS to_addr,
   CASE e.event_type WHEN 'signup' THEN 'collect@other.example' END AS reply_to,
   CASE d.doc_id % 7

@@ -51,7 +51,7 @@ def reason_of(reply: str) -> str:
 
 
 def address(to: str) -> str:
-    return f"CASE WHEN {to} LIKE '%<%' THEN regexp_extract({to}, '<(.*)>', 1) ELSE {to} END"
+    return f"CASE WHEN {to} LIKE '%<%' THEN regexp_extract({to}, '<(.*)>', 1) ELSE split_part({to}, ' (', 1) END"
 
 
 def domain(addr: str) -> str:
