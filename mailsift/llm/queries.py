@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailsift.llm import (
-    chat, exact_dedup, html_extract, langid, licenses, mixing, ngram_join, packing, pii, quality,
+    chat, exact_dedup, fim, hard_negatives, html_extract, langid, licenses, mixing, ngram_join, packing, pii, quality,
+    token_records,
 )
 from mailsift.llm.common import table
+from mailsift.session import scratch_path
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +73,29 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = fim.Rules(seed=1)
+    return fim.fill_in_middle(table(spark, sf_dir, "documents"), rules=rules).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(rules), 256).alias("restored_sha256"))
+
+
+def op12_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch_path(spark, "token-records")
+    token_records.write_records(
+        table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_records.read_records(spark, path).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number, label = F.col("vec_id"), F.col("label")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(number % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine_hard_negatives(rows, anchors=number % 100 == 0)
+
+
 _ESCAPED = "regexp_replace({}, '<(\\\\*)\\|', '<\\\\\\1|', 'g')"
 CHAT_SQL = f"""
 WITH r AS (
@@ -89,7 +114,7 @@ FROM e GROUP BY conv_id
 QUERIES = {
     f.__name__: f for f in (
         op1_html_extract, op2_packing, op3_pii, op4_ngram_join, op5_mixing, op6_language, op7_quality,
-        op8_exact_dedup, op9_licenses, op10_chat,
+        op8_exact_dedup, op9_licenses, op10_chat, op11_fill_in_middle, op12_token_records, op13_hard_negatives,
     )
 }
-SQL = {"op8_exact_dedup": exact_dedup.SQL, "op10_chat": CHAT_SQL}
+SQL = {"op8_exact_dedup": exact_dedup.SQL, "op10_chat": CHAT_SQL, "op11_fill_in_middle": fim.SQL, "op13_hard_negatives": hard_negatives.SQL}
