@@ -7,8 +7,9 @@ A file is a run of records and nothing else:
     n bytes           payload
     uint32            masked CRC-32 of the payload
 
-All numbers are little-endian. A payload is one document: a flag byte (1 if the id is null), the
-id as int64, and its token ids as uint32. The mask rotates a checksum and adds a constant, so that
+All numbers are little-endian. A payload is one document: a byte of flags, the id as int64, and its
+token ids as uint16 (flag 2) where all ids of the tokenizer fit, else as uint32. Flag 1 marks a
+null id. The mask rotates a checksum and adds a constant, so that
 a checksum stored inside a payload does not check itself. Documents are in ascending order of their
 id within a file and from file to file.
 
@@ -20,6 +21,8 @@ of one attempt per task. A lost or repeated attempt leaves at most a file that n
 from __future__ import annotations
 
 import contextlib
+import itertools
+import json
 import math
 import os
 import re
@@ -35,13 +38,16 @@ from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec, functions a
 from tokenizers import Tokenizer
 
 FILE_BYTES = 128 << 20  # of text in a file, on average
-CACHE_WORDS = 200_000
+CACHED = 600_000  # words, and pieces
+SLICE_CHARS = 1 << 20
 BUFFER_BYTES = 4 << 20
 OPEN_FILES = 64
 INDEX = "file string, record long, offset long, n_bytes long, id long, n_tokens long"
 HEAD, TAIL, ID = "<QI", "<I", "<Bq"  # layouts for struct
 HEAD_BYTES, TAIL_BYTES, ID_BYTES = 12, 4, 9
+NAMELESS, NARROW = 1, 2
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
+_SEPARATORS = re.compile(r"[\x1C-\x1F]")
 
 
 # ---- records --------------------------------------------------------------------------------
@@ -75,62 +81,141 @@ def read_frame(source, where: str) -> bytes | None:
     return payload
 
 
-def document_payload(row_id: int | None, ids: bytes) -> bytes:
-    return struct.pack(ID, row_id is None, row_id or 0) + ids
+def document_payload(row_id: int | None, ids: bytes, width: int) -> bytes:
+    """``ids`` are little-endian integers of ``width`` bytes."""
+    return struct.pack(ID, (NAMELESS if row_id is None else 0) | (NARROW if width == 2 else 0), row_id or 0) + ids
 
 
 def document_of(payload: bytes) -> tuple[int | None, bytes]:
-    nameless, row_id = struct.unpack_from(ID, payload)
-    return None if nameless else row_id, payload[ID_BYTES:]
+    """The id and the token ids as uint32."""
+    flags, row_id = struct.unpack_from(ID, payload)
+    ids = payload[ID_BYTES:]
+    if flags & NARROW:
+        ids = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+    return None if flags & NAMELESS else row_id, ids
 
 
 # ---- tokens ---------------------------------------------------------------------------------
 
 
-class WordEncoder:
-    """Ids of whole texts from the ids of their words, as uint32 bytes.
+# The normalisation and the split that PieceEncoder knows how to take apart.
+LOWER_CASE = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+LETTER_RUNS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+# Letters whose lower case and normal form do not depend on what stands beside them.
+LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
+UNSAFE = re.compile(rf"[^\x00-\x7F{LETTERS}]")
+# What LETTER_RUNS splits a word without unsafe characters into, in lower case.
+PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\x20\x09-\x0D0-9{LETTERS}]+")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-    For tokenizers that drop white space and never join what stands on either side of it, so that a
-    text's ids are those of its words in order. Words between ASCII white space are encoded once
-    and remembered; the memory is emptied when it is full, which changes no result. A word of any
-    length is encoded whole.
+
+# Byte-level models show a byte as the letter of its code, or, where that cannot be seen, as one from 256 on.
+BYTE_LETTERS = dict(zip([*range(33), *range(127, 161), 173], range(256, 324)))
+
+
+class PieceEncoder:
+    """Token ids of whole texts, as integers of ``width`` bytes.
+
+    Where a tokenizer lowers the case, drops white space and splits texts into runs of letters and
+    the like, a text's ids are those of its pieces in order. Pieces are encoded once by the
+    tokenizer and remembered, as are words; a memory that is full is emptied, which changes no
+    result. A word with other characters than ASCII and some letters is one piece. Long texts
+    are taken in slices between words. A text with the string of a special token is taken word by
+    word, and other kinds of tokenizers encode each text as a whole.
     """
 
-    def __init__(self, tokenizer_json: str):
-        self._tokenizer = Tokenizer.from_str(tokenizer_json)
-        self._known: dict[str, bytes] = {}
+    def __init__(self, tokenizer_json: str, width: int = 4):
+        self._tokenizer, self._kind = Tokenizer.from_str(tokenizer_json), f"<u{width}"
+        self._words: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
+        told = json.loads(tokenizer_json)
+        split = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self._in_pieces = (
+            (told.get("normalizer") or {}).get("normalizers") == LOWER_CASE
+            and split[0].get("pattern") == {"Regex": LETTER_RUNS} and split[0].get("behavior") == "Removed"
+            and [s.get("type") for s in split[1:]] == ["ByteLevel"] and not split[1]["add_prefix_space"]
+            and not split[1]["use_regex"] and not told.get("post_processor"))
+        self._special = [t["content"] for t in told["added_tokens"]]
+
+    def _bytes(self, encoding) -> bytes:
+        return np.array(encoding.ids, self._kind).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        words = _SPACES.split(text)
-        known = self._known
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            found = self._tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+        if not self._in_pieces:
+            return self._bytes(self._tokenizer.encode(text, add_special_tokens=False))
+        special = any(s in text for s in self._special)
+        out, at = [], 0
+        while at < len(text):
+            gap = _SPACES.search(text, at + SLICE_CHARS)
+            end = gap.start() if gap else len(text)
+            part = text[at:end]
+            out.append(self._of_whole_words(WORD.findall(part)) if special else self._of_words(part))
+            at = end
+        return b"".join(out)
+
+    def _of_words(self, text: str) -> bytes:
+        """Words are remembered too: most of a text is words that were there before."""
+        # split() takes these four for white space; the tokenizer does not.
+        words = WORD.findall(text) if _SEPARATORS.search(text) else text.split()
+        known, single = self._words, self._pieces
+        new = set(words).difference(known)
+        if new:
+            if len(known) + len(new) > CACHED:
+                known.clear()
+                new = set(words)
+            in_pieces = [(w, [w] if UNSAFE.search(w) else PIECE.findall(w.lower())) for w in new]
+            self._learn({p for _, pieces in in_pieces for p in pieces})
+            known.update((w, b"".join([single[p] for p in pieces])) for w, pieces in in_pieces)
         return b"".join([known[w] for w in words])
 
+    def _learn(self, pieces: set[str], split: bool = True) -> None:
+        known = self._pieces
+        new = pieces.difference(known)
+        if len(known) + len(new) > CACHED:
+            known.clear()
+            new = pieces
+        model, odd = self._tokenizer.model.tokenize, []
+        for piece in new:  # past the normaliser and the split, which leave a safe piece as it is
+            if not split or UNSAFE.search(piece) or not piece.islower():
+                odd.append(piece)
+            else:
+                shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+                known[piece] = np.array([t.id for t in model(shown)], self._kind).tobytes()
+        for part in itertools.batched(odd, 1000):
+            found = self._tokenizer.encode_batch_fast(list(part), add_special_tokens=False)
+            known.update(zip(part, map(self._bytes, found)))
+
+    def _of_whole_words(self, words: list[str]) -> bytes:
+        self._pieces.clear()  # what is remembered there are pieces
+        self._learn(set(words), split=False)
+        found = b"".join([self._pieces[w] for w in words])
+        self._pieces.clear()
+        return found
+
 
 # ---- writing --------------------------------------------------------------------------------
 
 
-def _writer(folder: str, tokenizer_json, end_id: int):
+def id_width(tokenizer_json: str, end_id: int) -> int:
+    """Bytes that every id of a tokenizer fits in: 2 or 4."""
+    largest = max(Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True).values())
+    return 2 if max(largest, end_id) < 1 << 16 else 4
+
+
+def _writer(folder: str, tokenizer_json, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encode, end = WordEncoder(tokenizer_json.value), struct.pack("<I", end_id)
+        encode, end = PieceEncoder(tokenizer_json.value, width), end_id.to_bytes(width, "little")
         store, root = fs.FileSystem.from_uri(folder)
         name = f"{uuid.uuid4().hex}.records"
         out, offset, record = None, 0, 0
         for batch in batches:
             told: list[tuple] = []
             for row_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = frame(document_payload(row_id, ids := encode(text.as_py()) + end))
+                data = frame(document_payload(row_id, ids := encode(text.as_py()) + end, width))
                 out = out or store.open_output_stream(f"{root}/{name}", buffer_size=BUFFER_BYTES)
                 out.write(data)
-                told.append((name, record, offset, len(data), row_id, len(ids) // 4))
+                told.append((name, record, offset, len(data), row_id, len(ids) // width))
                 offset, record = offset + len(data), record + 1
             if told:
                 yield pa.RecordBatch.from_arrays(
@@ -159,14 +244,15 @@ def write_records(docs: DataFrame, path: str, tokenizer_file: str, end_id: int,
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(math.ceil(size / file_bytes), spark.sparkContext.defaultParallelism)
     with open(tokenizer_file, encoding="utf-8") as source:
-        tokenizer_json = spark.sparkContext.broadcast(source.read())
+        tokenizer_json = source.read()
+    width, sent = id_width(tokenizer_json, end_id), spark.sparkContext.broadcast(tokenizer_json)
     store, root = fs.FileSystem.from_uri(f"{path}/records")
     store.create_dir(root, recursive=True)
     order = ("id", "deal", "at")
     index = (
         own.withColumns({"deal": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
         .repartitionByRange(files, *order).sortWithinPartitions(*order).select("id", "text")
-        .mapInArrow(_writer(f"{path}/records", tokenizer_json, end_id), INDEX)
+        .mapInArrow(_writer(f"{path}/records", sent, end_id, width), INDEX)
         .withColumn("file_no", F.spark_partition_id().cast("long"))
     )
     index.write.parquet(f"{path}/index")

@@ -6,6 +6,7 @@ import pathlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -88,20 +89,43 @@ def tokenizer():
     return Tokenizer.from_file(TOKENIZER)
 
 
-def test_words_encode_like_whole_texts(tokenizer):
-    encode = token_records.WordEncoder(pathlib.Path(TOKENIZER).read_text())
+def test_pieces_encode_like_whole_texts(tokenizer, monkeypatch):
+    encode = token_records.PieceEncoder(pathlib.Path(TOKENIZER).read_text())
+    assert encode._in_pieces
     draw = random.Random(2)
-    pieces = ["Don't", "é", "́x", " ", " ", "İ", "ΣΑΣ", "a'", "'s", "<|endoftext|>", "x<|startoftext|>y", "42", "ﬁ", "日本", "\U0001F600", "--", "\x1c"]
-    for text in ["", " ", "y" * 4000, *ODD[1:]] + [
-            "".join(draw.choice(pieces) + draw.choice(["", " ", "\n", "\t \r\n", "　"]) for _ in range(12)) for _ in range(400)]:
-        assert np.frombuffer(encode(text), "<u4").tolist() == encoded(tokenizer, text)[:-1]
-
-
-@pytest.mark.parametrize("file_bytes", [200, 1 << 20])
-def test_records_read_back(spark, tokenizer, file_bytes):
+    pieces = ["Don't", "DON'T", "we'Ll", "'re", "'r", "!'s", "é", "e\u0301", "\u0301x", " ", "\u00a0", "\u2003", "\u212a", "İ", "ΣΑΣ", "a'", "'s", "'S",
+              "<|endoftext|>", "x<|startoftext|>y", "<|endoftext", "42", "ﬁ", "日本", "\U0001F600", "--", "\x1c", "\x00", "\x7f", "\x85", "a1b2", "$$$"]
+    texts = ["", " ", "y" * 4000, *ODD[1:]] + [
+        "".join(draw.choice(pieces) + draw.choice(["", "", " ", "\n", "\t \r\n", "\u3000"]) for _ in range(12)) for _ in range(3000)]
+    for size in (1 << 20, 3):
+        monkeypatch.setattr(token_records, "SLICE_CHARS", size)
+        for text in texts:
+            assert np.frombuffer(encode(text), "<u4").tolist() == encoded(tokenizer, text)[:-1], repr(text)
+    monkeypatch.setattr(token_records, "CACHED", 40)
+    assert all(np.frombuffer(encode(t), "<u4").tolist() == encoded(tokenizer, t)[:-1] for t in texts[:300])
+
+
+def test_long_texts_without_spaces_take_linear_time():
+    encode = token_records.PieceEncoder(pathlib.Path(TOKENIZER).read_text())
+    for unit in ("a1", "é", "x", "!a"):
+        began = time.perf_counter()
+        assert encode(unit * 200_000)
+        assert time.perf_counter() - began < 20
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, plain = token_records.PieceEncoder(pathlib.Path(path).read_text()), Tokenizer.from_file(path)
+    for text in ODD[1:]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert not encode._in_pieces and token_records.id_width(pathlib.Path(path).read_text(), 2) == 2
+
+
+@pytest.mark.parametrize("file_bytes, end_id", [(200, 2), (1 << 20, 2), (1 << 20, 70_000)])
+def test_records_read_back(spark, tokenizer, file_bytes, end_id):
     rows = [(i * 3 - 9, t) for i, t in enumerate(ODD)] + [(4, "twin twin"), (4, "twin twin"), (4, "other"), (None, "none"), (None, None), (-(1 << 63), "low")]
     path = scratch_path(spark, "test-records")
-    index = token_records.write_records(docs_of(spark, rows), path, TOKENIZER, 2, file_bytes=file_bytes)
+    index = token_records.write_records(docs_of(spark, rows), path, TOKENIZER, end_id, file_bytes=file_bytes)
     assert index.count() == len(rows)
     read = sorted(token_records.read_records(spark, path).collect(), key=lambda r: r.start)
     at = 0
@@ -110,7 +134,7 @@ def test_records_read_back(spark, tokenizer, file_bytes):
         at += r.n_tokens
     keys = [(r.id is not None, r.id or 0) for r in read]
     assert keys == sorted(keys)
-    want = sorted(((i, struct.pack(f"<{len(x)}I", *x)) for i, x in ((i, encoded(tokenizer, t)) for i, t in rows)), key=str)
+    want = sorted(((i, struct.pack(f"<{len(x)}I", *x)) for i, x in ((i, encoded(tokenizer, t)[:-1] + [end_id]) for i, t in rows)), key=str)
     assert sorted(((r.id, bytes(r.ids)) for r in read), key=str) == want
     first, again, other = (token_records.read_shuffled(spark, path, s, 3).collect() for s in (1, 1, 2))
     assert first == again and [r.id for r in first] != [r.id for r in other]
