@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mailsift.functions.clean import sanitize_prompt
 from mailsift.functions.compose import digest_entry
 from mailsift.functions.headers import domain_of
 from mailsift.operators.filters import recent
-from mailsift.operators.windows import first_n_per_mailbox
+from mailsift.operators.windows import first_n, first_n_per_mailbox
 
 MAX_ITEMS = 50
 # Separator between excerpts and the text of an empty digest.
@@ -80,10 +80,9 @@ def _counts_and_first(
     neither is bound to the size of a hot group.
     """
     counts = df.groupBy(*group).agg(F.count("*").alias("messages"))
-    order = Window.partitionBy(*group).orderBy(F.col("received_at").desc(), "message_key")
+    newest_first = [F.col("received_at").desc(), "message_key"]
     items = (
-        df.withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= max_items)
+        first_n(df, group, newest_first, max_items, rank="_rank")
         .withColumn("_item", item)
         .groupBy(*group)
         .agg(_in_order("_rank", "_item").alias("items"))

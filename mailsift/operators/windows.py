@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from mailsift.functions.timing import RECONNECT, micros, retry_delay
-from mailsift.operators.scans import BLOCK_SECONDS, SECOND, running_values, trailing_sum
+from mailsift.operators.scans import (
+    BLOCK_SECONDS, ROWS_PER_BLOCK, SECOND, dense_cuts, event_cuts, running_values, trailing_sum,
+)
 
 
 def trailing_count(
@@ -19,6 +21,7 @@ def trailing_count(
     tie: str = "id",
     seconds: int = 60,
     block_seconds: int = BLOCK_SECONDS,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Add ``trailing``: requests of the key in the last ``seconds``, lower bound exclusive.
 
@@ -26,7 +29,8 @@ def trailing_count(
     which one carries its columns.
     """
     return trailing_sum(
-        df, [key], micros(F.col(ts)), tie, seconds, "trailing", block_seconds=block_seconds
+        df, [key], micros(F.col(ts)), tie, seconds, "trailing", block_seconds=block_seconds,
+        rows_per_block=rows_per_block,
     )
 
 
@@ -38,6 +42,7 @@ def delay_requests(
     limit: int = 30,
     seconds: int = 60,
     block_seconds: int = BLOCK_SECONDS,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Rate limit that waits: add ``admitted_us``, the time each request may go ahead.
 
@@ -47,13 +52,15 @@ def delay_requests(
     ``arrive - turn*seconds``: an ordinary window, cut into blocks like the others.
     """
     span = seconds * SECOND
-    rows = running_values(df, [key], ts, tie, block_seconds=block_seconds)
+    order = F.struct(F.col(ts).alias("at"), F.col(tie).alias("tie"))
+    cuts = dense_cuts(df, [key], micros(F.col(ts)), order, rows_per_block, block_seconds)
+    rows = running_values(df, [key], ts, tie, block_seconds=block_seconds, cuts=cuts)
     turn = F.floor((F.col("position") - 1) / F.lit(limit)).cast("bigint")
     rows = rows.withColumn("_lane", (F.col("position") - 1) % limit)
     rows = rows.withColumn("_turn_us", turn * span).drop("position")
     rows = running_values(
         rows, [key, "_lane"], ts, tie,
-        maxima={"_late": micros(F.col(ts)) - F.col("_turn_us")}, block_seconds=block_seconds,
+        maxima={"_late": micros(F.col(ts)) - F.col("_turn_us")}, block_seconds=block_seconds, cuts=cuts,
     )
     return rows.withColumn("admitted_us", F.col("_late") + F.col("_turn_us")).select(
         *df.columns, "admitted_us"
@@ -87,6 +94,7 @@ def drop_requests(
     limit: int = 30,
     seconds: int = 60,
     block_seconds: int = BLOCK_SECONDS,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Rate limit that refuses: ``key, tie, ts, admitted`` for every request.
 
@@ -101,31 +109,35 @@ def drop_requests(
     Episodes are streamed in time order with ``limit`` times of state. A key that never calms
     down is one episode: its chain of decisions is sequential by nature, but it is neither
     collected nor held in memory; over a stream, ``rate_limit_stream`` does the same bit by
-    bit. Uncontested rows are spread by block. Every request needs a time.
+    bit. Uncontested rows are spread by their tie. Every request needs a time.
     """
     rows = df.select(key, tie, micros(F.col(ts)).alias("_us"))
+    order = F.struct(F.col("_us").alias("at"), F.col(tie).alias("tie"))
+    cuts = dense_cuts(rows, [key], F.col("_us"), order, rows_per_block, block_seconds)
+    forth, back = (event_cuts(rows, [key], at, tie, seconds, rows_per_block, block_seconds)
+                   for at in (F.col("_us"), -F.col("_us")))
     rows = trailing_sum(
-        rows, [key], F.col("_us"), tie, seconds, "_load", block_seconds=block_seconds
+        rows, [key], F.col("_us"), tie, seconds, "_load", block_seconds=block_seconds, cuts=forth
     )
     contested = (F.col("_load") > limit).cast("int")
     rows = trailing_sum(
         rows, [key], -F.col("_us"), tie, seconds, "_ahead", weight=contested,
-        block_seconds=block_seconds,
+        block_seconds=block_seconds, cuts=back,
     )
     rows = rows.select(key, tie, "_us", (F.col("_ahead") > 0).alias("_involved"))
     rows = trailing_sum(
         rows, [key], F.col("_us"), tie, seconds, "_before",
         weight=F.col("_involved").cast("int"), include_peers=False, block_seconds=block_seconds,
+        cuts=forth,
     )
     opens = F.col("_involved") & (F.col("_before") == 1)
     rows = running_values(
         rows.select(key, tie, "_us", "_involved", F.when(opens, F.col("_us")).alias("_opens")),
-        [key], "_us", tie, maxima={"_start": F.col("_opens")}, block_seconds=block_seconds,
+        [key], "_us", tie, maxima={"_start": F.col("_opens")}, block_seconds=block_seconds, cuts=cuts,
     )
-    block = F.floor(F.col("_us") / F.lit(block_seconds * SECOND)).cast("bigint")
     rows = rows.select(
         key, tie, "_us", "_involved",
-        F.when(F.col("_involved"), F.col("_start")).otherwise(block).alias("_group"),
+        F.when(F.col("_involved"), F.col("_start")).otherwise(F.pmod(F.xxhash64(tie), F.lit(4096))).alias("_group"),
     )
     schema = T.StructType(
         [*rows.select(key, tie, "_us").schema.fields, T.StructField("admitted", T.BooleanType())]
@@ -166,12 +178,13 @@ def rate_limit(
     seconds: int = 60,
     mode: str = "delay",
     block_seconds: int = BLOCK_SECONDS,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Apply a rate limit per key; see :func:`delay_requests` and :func:`drop_requests`."""
     if mode not in ("delay", "drop"):
         raise ValueError(f"unknown mode: {mode}")
     apply = delay_requests if mode == "delay" else drop_requests
-    return apply(df, key, ts, tie, limit, seconds, block_seconds)
+    return apply(df, key, ts, tie, limit, seconds, block_seconds, rows_per_block)
 
 
 def retry_outcome(
@@ -183,6 +196,7 @@ def retry_outcome(
     success: str = "ok",
     delay: tuple[float, float] = RECONNECT,
     block_seconds: int = BLOCK_SECONDS,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Number each delivery attempt and decide what follows.
 
@@ -191,7 +205,8 @@ def retry_outcome(
     and gets ``retry_in`` seconds of backoff, to be tried again at ``next_attempt_us``.
     """
     rows = running_values(
-        df, [key], ts, tie, marks={"_reset": F.col(success)}, block_seconds=block_seconds
+        df, [key], ts, tie, marks={"_reset": F.col(success)}, block_seconds=block_seconds,
+        rows_per_block=rows_per_block,
     )
     failures = F.col("position") - F.coalesce(F.col("_reset"), F.lit(0))
     attempt = F.when(F.col(success), 0).otherwise((failures - 1) % max_retries + 1)
@@ -217,6 +232,7 @@ def failure_streak(
     success: str = "ok",
     error: str = "error",
     block_seconds: int = BLOCK_SECONDS,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """State of the fetcher after every poll.
 
@@ -227,7 +243,7 @@ def failure_streak(
         df, [key], ts, tie,
         marks={"_reset": F.col(success)},
         maxima={"last_success_us": F.when(F.col(success), micros(F.col(ts)))},
-        block_seconds=block_seconds,
+        block_seconds=block_seconds, rows_per_block=rows_per_block,
     )
     streak = F.col("position") - F.coalesce(F.col("_reset"), F.lit(0))
     last_error = F.when(~F.col(success), F.col(error))
@@ -244,13 +260,26 @@ def latest_status(df: DataFrame, key: str = "mailbox", ts: str = "updated_at", *
     return df.groupBy(key).agg(latest.alias("_latest")).select(key, "_latest.*")
 
 
+def first_n(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column | str], n: int, rank: str = "rank",
+    task_groups: int = 32,
+) -> DataFrame:
+    """The first ``n`` rows of each group with their ``rank``, chosen in two levels.
+
+    Each task keeps ``n`` rows of a group, but with very many tasks those of a hot group would
+    still meet in one. So they meet by group and group of tasks first, where again ``n`` are kept:
+    the last level gets ``n * task_groups`` rows of a group at most, whatever the input.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(task_groups)))
+    for keys in ((*group, "_salt"), group):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        salted = salted.withColumn(rank, place).where(F.col(rank) <= n)
+    return salted.drop("_salt")
+
+
 def first_n_per_mailbox(
     df: DataFrame, n: int = 50, mailbox: str = "mailbox", ts: str = "received_at",
     tie: str = "message_key",
 ) -> DataFrame:
-    """The ``n`` newest messages of each mailbox with their ``rank``.
-
-    Spark keeps at most ``n`` rows per mailbox in every task before the shuffle.
-    """
-    order = Window.partitionBy(mailbox).orderBy(F.col(ts).desc(), F.col(tie))
-    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    """The ``n`` newest messages of each mailbox with their ``rank``; see :func:`first_n`."""
+    return first_n(df, [mailbox], [F.col(ts).desc(), F.col(tie)], n)

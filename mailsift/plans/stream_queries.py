@@ -18,6 +18,8 @@ from mailsift.plans.table_queries import DAY, MAX_RETRIES, RATE_LIMIT_DROP_SQL,
 from mailsift.plans.text_queries import _as_question_marks, labelled_path
 from mailsift.session import ROCKSDB_PROVIDER, scratch_path
 from mailsift.sources import mail, records
+from mailsift.sources.batches import BatchTable
+from mailsift.sources.seen import SeenIndex
 from mailsift.streaming import keyed, triage
 
 
@@ -143,7 +145,36 @@ def replayed_batch(v: Inputs):
     later = v.mail.select((-F.col("doc_id") - 1).alias("doc_id"), F.lit("delivered").alias("disposition"))
     for batch_id, rows in ((1, first), (2, later), (1, again)):
         mail.write_disposition_batch(rows, batch_id, path)
-    return v.spark.read.schema("doc_id bigint, batch_id bigint, disposition string").parquet(path).drop("batch_id")
+    return mail.read_disposition_batches(v.spark, path, "doc_id bigint, disposition string").drop("batch_id")
+
+
+@query("mail", "ledger", sql="""
+SELECT doc_id, message_id AS message_key FROM mail
+WHERE message_id NOT IN (SELECT message_key FROM ledger)""")
+def seen_index(v: Inputs):
+    """New messages by the seen-key index; one batch of the ledger was stored wrongly and replayed."""
+    index = SeenIndex(v.spark, scratch_path(v.spark, "seen"), buckets=32, expected_keys=1_000_000)
+    quarantined = F.col("verdict") == "QUARANTINE"
+    index.add(v.ledger.where(quarantined), 0)
+    index.add(v.mail.select(F.col("message_id").alias("message_key")), 1)
+    index.add(v.ledger.where(~quarantined), 1)
+    new = index.unseen(v.mail.withColumnRenamed("message_id", "message_key"), 2)
+    return new.select("doc_id", "message_key")
+
+
+@query("ledger", sql="""
+SELECT message_key, verdict, 3 AS batch_id FROM ledger
+UNION ALL SELECT 'again-' || message_key, verdict, 4 FROM ledger""")
+def compacted_batches(v: Inputs):
+    """Ledger batches, one of them replaced, all but the last put together."""
+    table = BatchTable(v.spark, scratch_path(v.spark, "batches"), "message_key string, verdict string")
+    rows = v.ledger.select("message_key", "verdict")
+    again = rows.withColumn("message_key", F.concat(F.lit("again-"), "message_key"))
+    for batch_id, batch in ((1, rows.where("verdict = 'QUARANTINE'")), (3, again), (2, rows.limit(0)),
+                            (3, rows.where("verdict = 'SAFE'")), (4, again)):
+        table.write(batch, batch_id)
+    table.compact()
+    return table.read()
 
 
 @query("ledger", sql="""
@@ -206,6 +237,25 @@ def staleness_stream(v: Inputs):
     return run(v.spark, keyed.staleness_stream(rows), "stale")
 
 
+@query(sql="""
+WITH f AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS at_ms FROM events WHERE event_type <> 'error'),
+edge AS (SELECT epoch_us(min(ts)) // 1000 AS since_ms, epoch_us(max(ts)) // 1000 - 600000 AS mark_ms FROM events WHERE event_type <> 'error'),
+told AS (SELECT key, at_ms, at_ms AS last_fetch_ms FROM f UNION ALL SELECT c_custkey, since_ms, NULL FROM customer, edge),
+gaps AS (SELECT key, last_fetch_ms, coalesce(lead(at_ms) OVER (PARTITION BY key ORDER BY at_ms, last_fetch_ms NULLS FIRST), mark_ms) - at_ms AS gap FROM told, edge)
+SELECT key, last_fetch_ms, 'warning' AS level FROM gaps WHERE gap > 3600000
+UNION ALL SELECT key, last_fetch_ms, 'critical' FROM gaps WHERE gap > 6 * 3600000""")
+def staleness_of_known_mailboxes(v: Inputs):
+    """All customers are to fetch from the first fetch of anyone on; many never do."""
+    fetches = table_stream(v, "events").where("event_type <> 'error'")
+    rows = fetches.select(
+        F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"),
+        F.floor(micros(F.col("ts")) / 1000).alias("fetch_ms"),
+    )
+    first = v.events.where("event_type <> 'error'").agg(F.floor(micros(F.min("ts")) / 1000)).first()[0]
+    known = v.customer.select(F.col("c_custkey").alias("key"), F.lit(first).alias("since_ms"))
+    return run(v.spark, keyed.staleness_stream(rows, known=known), "stale-known")
+
+
 @query("mail", sql=f"""
 WITH l AS (SELECT mailbox, {S.LABEL} AS folder_label, received_at - INTERVAL 6 HOUR AS local_at FROM mail),
 w AS (SELECT *, date_trunc('day', local_at - INTERVAL 8 HOUR) + INTERVAL 8 HOUR AS digest_from FROM l),

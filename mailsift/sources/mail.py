@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from mailsift.sources.batches import BatchTable
+
 # Folders of a mailbox that a digest covers.
 DIGEST_FOLDERS = ("cur", "new", ".Sent/cur", ".Quarantine/cur")
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
@@ -125,14 +127,18 @@ def write_dispositions(df: DataFrame, path: str) -> None:
 
 
 def write_disposition_batch(df: DataFrame, batch_id: int, path: str) -> None:
-    """Write one micro-batch into the folder of its own that the table reads as ``batch_id``.
+    """Write one micro-batch as a version of its own, then let it count as ``batch_id``.
 
-    A replay replaces the whole folder, also where it decides otherwise than the first run did.
+    A replay replaces the whole batch, also where it decides otherwise than the first run did.
+    Readers see the old version whole until the new one is complete.
     """
-    (
-        df.write.mode("overwrite").option("partitionOverwriteMode", "static")
-        .partitionBy("disposition").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
-    )
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
+    BatchTable(df.sparkSession, path, schema, ("disposition",)).write(df, batch_id)
+
+
+def read_disposition_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all batches as they now count, with ``batch_id``; empty before the first."""
+    return BatchTable(spark, path, schema, ("disposition",)).read()
 
 
 def disposition_stream(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:

@@ -100,56 +100,72 @@ class _Staleness(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "fetch_ms bigint, sent bigint")
+        # Since when there was no fetch, alerts sent, and whether that time is one of a fetch.
+        self.last = handle.getValueState("last", "since_ms bigint, sent bigint, fetched boolean")
 
-    def _passed(self, key, fetch_ms: int, sent: int, now_ms: int) -> tuple[list[tuple], int]:
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """A key that is known before its first fetch."""
+        since_ms = int(initialState["since_ms"].min())
+        self.last.update((since_ms, 0, False))
+        self.handle.registerTimer(since_ms + self.LEVELS[0][0] + 1)
+
+    def _passed(self, key, since_ms: int, sent: int, fetched: bool, now_ms: int) -> tuple[list[tuple], int]:
         """Alerts due at ``now_ms`` that were not sent yet."""
         out = []
         for i, (age, level) in enumerate(self.LEVELS[sent:], start=sent):
-            if now_ms - fetch_ms > age:
-                out.append((key[0], fetch_ms, level))
+            if now_ms - since_ms > age:
+                out.append((key[0], since_ms if fetched else None, level))
                 sent = i + 1
         return out, sent
 
-    def _finish(self, out: list[tuple], fetch_ms: int, sent: int) -> Iterator[pd.DataFrame]:
-        self.last.update((fetch_ms, sent))
+    def _finish(self, out: list[tuple], since_ms: int, sent: int, fetched: bool) -> Iterator[pd.DataFrame]:
+        self.last.update((since_ms, sent, fetched))
         if sent < len(self.LEVELS):
-            self.handle.registerTimer(fetch_ms + self.LEVELS[sent][0] + 1)
+            self.handle.registerTimer(since_ms + self.LEVELS[sent][0] + 1)
         if out:
-            yield pd.DataFrame(out, columns=["key", "last_fetch_ms", "level"])
+            names, ids, levels = zip(*out)
+            yield pd.DataFrame({"key": names, "last_fetch_ms": pd.array(ids, "Int64"), "level": levels})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         found = self.last.get() if self.last.exists() else None
-        fetch_ms, sent = (int(found[0]), int(found[1])) if found else (None, 0)
+        since_ms, sent, fetched = (int(found[0]), int(found[1]), bool(found[2])) if found else (None, 0, False)
         out = []
         for at_ms in _in_time_order(rows, "fetch_ms")["fetch_ms"]:
-            if fetch_ms is not None and at_ms > fetch_ms:
-                alerts, _ = self._passed(key, fetch_ms, sent, int(at_ms))
+            if since_ms is not None and at_ms > since_ms:
+                alerts, _ = self._passed(key, since_ms, sent, fetched, int(at_ms))
                 out += alerts
-            if fetch_ms is None or at_ms > fetch_ms:
-                fetch_ms, sent = int(at_ms), 0
+            if since_ms is None or at_ms > since_ms or not fetched:
+                since_ms, sent, fetched = max(int(at_ms), since_ms or int(at_ms)), 0, True
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        yield from self._finish(out, fetch_ms, sent)
+        yield from self._finish(out, since_ms, sent, fetched)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        fetch_ms, sent = (int(v) for v in self.last.get())
-        out, sent = self._passed(key, fetch_ms, sent, timerValues.getCurrentWatermarkInMs())
-        yield from self._finish(out, fetch_ms, sent)
+        since_ms, sent, fetched = self.last.get()
+        out, sent = self._passed(key, int(since_ms), int(sent), bool(fetched), timerValues.getCurrentWatermarkInMs())
+        yield from self._finish(out, int(since_ms), sent, bool(fetched))
 
     def close(self) -> None:
         pass
 
 
-def staleness_stream(fetches: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def staleness_stream(
+    fetches: DataFrame, delay: str = "10 minutes", known: DataFrame | None = None
+) -> DataFrame:
     """Alert when a key had no successful fetch for one hour, and again after six.
 
     ``fetches`` has key, ts (timestamp) and fetch_ms, one row per successful fetch. An alert
     names the fetch it follows; it comes with the next fetch or when the watermark passes.
+
+    ``known`` has key and since_ms: keys that are to fetch from that time on. They are the initial
+    state of the operator, read when a checkpoint is new, so a key that never fetched is alerted too,
+    with a null ``last_fetch_ms``. Of several rows of a key the earliest holds.
     """
+    seeds = None if known is None else known.select("key", "since_ms").groupBy("key")
     return fetches.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(
         statefulProcessor=_Staleness(),
         outputStructType=_types(fetches, "key") + ", last_fetch_ms bigint, level string",
         outputMode="Append",
         timeMode="EventTime",
+        initialState=seeds,
     )

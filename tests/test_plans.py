@@ -2,17 +2,17 @@
 
 import pytest
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 import __spark_entry__ as entry
-from mailsift.operators import joins
+from mailsift.operators import joins, windows
 from mailsift.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 STREAMS = {
     "read_mail_folders", "land_messages", "read_staging_stream", "triage_stream", "dedupe_stream",
     "retry_stream", "rate_limit_stream", "staleness_stream", "digest_window", "write_dispositions", "replayed_batch",
-    "ledger",
+    "ledger", "seen_index", "compacted_batches", "staleness_of_known_mailboxes",
 }
 PYTHON = {"decode_encoded_words", "parse_messages", "score_messages", "rate_limit_drop"}
 
@@ -72,6 +72,21 @@ def test_top_n_is_cut_before_the_shuffle(no_broadcast):
             plan(no_broadcast, name).count("WindowGroupLimit") >= 2)
 
 
+def test_top_n_is_chosen_in_two_levels(no_broadcast):
+    """Before and after the exchange by mailbox and group of tasks, then again by mailbox."""
+    text = plan(no_broadcast, "first_n_per_mailbox")
+    assert text.count("WindowGroupLimit") == 4 and text.count("Exchange hashpartitioning(mailbox") == 2
+    assert "Exchange hashpartitioning(mailbox#" in text and "_salt#" in text.partition("Exchange hashpartitioning")[2]
+
+
+def test_first_n_equals_one_window(spark):
+    rows = spark.range(0, 5000, 1, 40).select((F.col("id") % 3).alias("g"), F.xxhash64("id").alias("v"), "id")
+    found = windows.first_n(rows, ["g"], [F.col("v").desc()], 7, task_groups=5)
+    place = F.row_number().over(Window.partitionBy("g").orderBy(F.col("v").desc()))
+    want = rows.withColumn("rank", place).where("rank <= 7")
+    assert sorted(found.collect()) == sorted(want.select(*found.columns).collect())
+
+
 def test_running_values_shuffle_rows_once(no_broadcast):
     text = plan(no_broadcast, "retry_outcome")
     # Rows, the narrow copy for the block totals, totals by key, totals back by key and block.

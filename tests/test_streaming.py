@@ -106,6 +106,22 @@ def test_staleness_alerts(spark, tmp_path):
     ]
 
 
+def test_keys_that_never_fetched_are_alerted(spark, tmp_path):
+    hour, start = 3_600_000, int(T0.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    rows = [(k, T0 + dt.timedelta(hours=h), start + int(h * hour)) for k, h in ((1, 0.5), (2, 3), (9, 4), (1, 20))]
+    schema = "key bigint, ts timestamp, fetch_ms bigint"
+    for row in rows:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    known = spark.createDataFrame([(1, start), (2, start), (3, start), (3, start + hour), (4, start + 19 * hour)], "key bigint, since_ms bigint")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run(keyed.staleness_stream(stream, known=known), tmp_path)
+    got = {(r[0], None if r[1] is None else (r[1] - start) / hour, r[2]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {
+        (1, 0.5, "warning"), (1, 0.5, "critical"), (2, None, "warning"), (2, 3.0, "warning"), (2, 3.0, "critical"),
+        (3, None, "warning"), (3, None, "critical"), (9, 4.0, "warning"), (9, 4.0, "critical"),
+    }
+
+
 def staged_files(spark, root, names):
     rows = [(f"box{i % 2}", "", f"{n}.mail", f"From: {n}@x.org\nSubject: s{n}\n\nbody {n}\n".encode()) for i, n in enumerate(names)]
     df = spark.createDataFrame(rows, "mailbox string, folder string, name string, content binary")

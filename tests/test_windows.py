@@ -75,6 +75,79 @@ def test_trailing_count_boundary_is_exclusive(spark):
     assert got == {1: 1, 2: 2, 3: 2}
 
 
+@pytest.fixture(scope="module")
+def burst(spark):
+    """One key with most rows inside one microsecond, some inside a second, and quiet times around."""
+    rng, rows = random.Random(8), []
+    for i in range(6000):
+        if i < 3500:
+            at = 100 * US
+        elif i < 5000:
+            at = 100 * US + rng.randrange(US)
+        else:
+            at = rng.randrange(400) * US
+        key = "hot" if i < 5300 else rng.choice(["a", None])
+        rows.append((key, i, T0 + dt.timedelta(microseconds=at), rng.random() < 0.02))
+    rng.shuffle(rows)
+    return rows, spark.createDataFrame(rows, "key string, id bigint, ts timestamp_ntz, ok boolean").cache()
+
+
+def test_a_burst_is_cut_into_blocks_of_equal_depth(burst):
+    rows, df = burst
+    at_us, order = windows.micros(F.col("ts")), F.struct(F.col("ts").alias("at"), F.col("id").alias("tie"))
+    cuts = scans.dense_cuts(df, ["key"], at_us, order, rows_per_block=320)
+    blocks = scans.with_blocks(df, cuts, at_us, order).where("key = 'hot'")
+    sizes = sorted(r["count"] for r in blocks.groupBy("_block").count().collect())
+    assert len(sizes) >= 10 and sizes[-1] < 2 * sizes[len(sizes) // 2] and sum(sizes) == 5300
+    lows = blocks.groupBy("_block").agg(F.min(order).alias("low"), F.max(order).alias("high")).orderBy("_block").collect()
+    assert all(tuple(a["high"]) < tuple(b["low"]) for a, b in zip(lows, lows[1:]))
+    assert scans.dense_cuts(df, ["key"], at_us, order).table is None
+
+
+@pytest.mark.parametrize("depth", [32, 320])
+def test_running_values_in_a_burst(burst, depth):
+    rows, df = burst
+    got = {r["id"]: r for r in scans.running_values(
+        df, ["key"], "ts", "id", marks={"mark": F.col("ok")}, maxima={"top": F.when(F.col("ok"), F.col("id"))},
+        rows_per_block=depth).collect()}
+    assert len(got) == len(rows)
+    for group in by_key(rows):
+        mark = top = None
+        for n, (_, i, _, ok) in enumerate(group, 1):
+            if ok:
+                mark, top = n, max(i, top if top is not None else -1)
+            assert (got[i]["position"], got[i]["mark"], got[i]["top"]) == (n, mark, top)
+
+
+@pytest.mark.parametrize("depth, seconds", [(32, 1), (64, 10), (640, 300)])
+def test_trailing_count_in_a_burst(burst, depth, seconds):
+    rows, df = burst
+    got = {r["id"]: r["trailing"] for r in windows.trailing_count(df, seconds=seconds, rows_per_block=depth).collect()}
+    span = dt.timedelta(seconds=seconds)
+    for group in by_key(rows):
+        at = np.array([np.datetime64(r[2]) for r in group])
+        want = np.searchsorted(at, at, "right") - np.searchsorted(at, at - np.timedelta64(span), "right")
+        assert [got[r[1]] for r in group] == want.tolist()
+
+
+@pytest.mark.parametrize("limit", [3, 400])
+def test_rate_limits_in_a_burst(burst, limit):
+    rows, df = burst
+    got = {mode: {r["id"]: r[-1] for r in windows.rate_limit(df, limit=limit, seconds=30, mode=mode, rows_per_block=160).collect()}
+           for mode in ("drop", "delay")}
+    for group in by_key(rows):
+        admitted, times = [], []
+        for _, i, at, _ in group:
+            live = [a for a in admitted[-limit:] if at - dt.timedelta(seconds=30) < a]
+            assert got["drop"][i] == (len(live) < limit)
+            if got["drop"][i]:
+                admitted.append(at)
+            t = (at - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+            t = max(t, times[-1] if times else t, times[-limit] + 30 * US if len(times) >= limit else t)
+            times.append(t)
+            assert got["delay"][i] == t
+
+
 def slow_drop(at, limit, span):
     admitted, flags = [], []
     for t in at:
