@@ -17,6 +17,8 @@ from mailsift.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 512 << 10
+PAGE_BITS = 32_768  # of Spark's bitmap functions
+MOST_PAGES = 16_384
 U64 = np.uint64
 
 
@@ -37,6 +39,27 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def split_by_bitmap(docs: DataFrame, key: Column, ids: DataFrame, id_key: Column) -> tuple[DataFrame, DataFrame]:
+    """``docs`` as ``(sure, perhaps)``: rows whose ``key`` is in no row of ``ids``, and those that may be.
+
+    A bitmap of hashes tells them apart, 16 bits an id but 64 MiB at most, so that it can be sent
+    to every task. It only spares movement: what may be in ``ids`` is left to an exact join, and
+    with far more ids than bits everything may be.
+    """
+    pages = min(max(1, -(-ids.count() * 16 // PAGE_BITS)), MOST_PAGES)
+
+    def place(of: Column) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(pages * PAGE_BITS)) + 1
+
+    maps = ids.select(place(id_key).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("page")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), place(key).alias("p")).withColumn("page", F.bitmap_bucket_number("p"))
+    byte = "cast(conv(hex(substring(bitmap, cast(bitmap_bit_position(p) div 8 as int) + 1, 1)), 16, 10) as int)"
+    hit = F.expr(f"coalesce(shiftright({byte}, cast(bitmap_bit_position(p) % 8 as int)) & 1, 0)") == 1
+    told = rows.join(F.broadcast(maps), "page", "left")
+    return told.where(~hit).select("row.*"), told.where(hit).select("row.*")
+
+
 def n_words(text: Column) -> Column:
     """Number of words; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

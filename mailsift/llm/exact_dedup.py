@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from mailsift.llm.common import single_spaced, stored, text_slices
+from mailsift.llm.common import single_spaced, split_by_bitmap, stored, text_slices
 
 MEAN_BITS = 11  # a cut every 2 KiB on average
 SMALLEST, LARGEST = 256, 32_768
@@ -170,17 +170,23 @@ def _pieces(bits: int):
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns; of rows equal in id and text, one.
+
+    Rows whose id is not among those of dropped rows pass without being hashed or moved.
+    """
     found = stored(exact_duplicates(docs), "exact-duplicates")
     same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    gone = found.where(~F.col("kept")).select("doc_id", F.col("text_sha256").alias("_sha"), same.alias("twin")).distinct()
-    # Rows that repeat the id and the text of the one that stays are told apart by nothing else.
-    marked = docs.withColumn("_sha", F.sha2(single_spaced(F.col("text")), 256)).alias("d")
-    gone = stored(gone, "dropped-copies").alias("g")
-    on = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._sha") == F.col("g._sha"))
+    gone = stored(
+        found.where(~F.col("kept")).select("doc_id", F.col("text_sha256").alias("sha"), same.alias("twin")).distinct(),
+        "dropped-copies").alias("g")
+    sure, perhaps = split_by_bitmap(docs, F.col("doc_id"), gone, F.col("doc_id"))
+    marked = perhaps.select(
+        F.struct(*docs.columns).alias("row"), "doc_id", F.sha2(single_spaced(F.col("text")), 256).alias("sha")).alias("d")
+    on = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.sha") == F.col("g.sha"))
     stay = marked.join(gone, on, "left_anti")
-    twins = marked.join(gone.where("g.twin"), on, "left_semi").dropDuplicates(["doc_id", "_sha"])
-    return stay.unionByName(twins).select(*docs.columns)
+    # Rows that repeat the id and the text of the one that stays are told apart by nothing else.
+    twins = marked.join(gone.where("g.twin"), on, "left_semi").dropDuplicates(["doc_id", "sha"])
+    return sure.unionByName(stay.unionByName(twins).select("row.*"))
 
 
 SQL = """

@@ -10,19 +10,21 @@ vector but for its length, both factors are multiplied once and each batch needs
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from mailsift.llm.common import U64, text_slices
 
 BINS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 PER_LANGUAGE = 400  # bound of the training sample, texts of each language
+SAMPLE_TEXTS = 40_000  # of all languages; with over 10,000 of them, four texts of each
 LANDMARKS = 100  # of each language
-MAX_LANGUAGES = 200
+ALL_LANDMARKS = 1000  # of all languages; with over 1,000 of them, one of each
 RIDGE = 1e-2
 UNKNOWN = "und"
 _MULTIPLIER = U64(0x9E3779B97F4A7C15)
@@ -58,13 +60,13 @@ def presence(data: np.ndarray, offsets: np.ndarray, lower: bool = True, rows: in
 
 def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        labels = batch.column(0)
         for at, end, data, offsets in text_slices(batch.column(1)):
             for first, last, row, bin_ in presence(data, offsets):
                 cuts = np.searchsorted(row, np.arange(last - first + 1))
                 packed = [bin_[cuts[i] : cuts[i + 1]].astype(np.uint16).tobytes() for i in range(last - first)]
                 yield pa.RecordBatch.from_arrays(
-                    [labels.slice(at + first, last - first), pa.array(packed, pa.binary())], names=["lang", "bins"])
+                    [*[c.slice(at + first, last - first) for c in (batch.column(0), batch.column(2))], pa.array(packed, pa.binary())],
+                    names=["lang", "draw", "bins"])
 
 
 def _dense(rows: list[bytes]) -> np.ndarray:
@@ -82,9 +84,11 @@ def fit(sample: list[tuple[str, bytes]]) -> tuple[list[str], np.ndarray]:
     if not languages:
         return [], np.zeros((BINS, 0), np.float32)
     ordered = sorted(sample)
-    marks = []
-    for lang in languages:
-        marks += [b for l, b in ordered if l == lang][:LANDMARKS]
+    of_each, marks, taken = min(LANDMARKS, max(1, ALL_LANDMARKS // len(languages))), [], Counter()
+    for lang, bins in ordered:
+        if taken[lang] < of_each:
+            marks.append(bins)
+            taken[lang] += 1
     z = _dense(marks)
     inner = (z @ z.T).astype(np.float64)
     values, vectors = np.linalg.eigh(inner)
@@ -93,9 +97,12 @@ def fit(sample: list[tuple[str, bytes]]) -> tuple[list[str], np.ndarray]:
     known = [l for l, _ in ordered]
     k = np.vstack([_dense([b for _, b in ordered[i : i + 256]]) @ z.T for i in range(0, len(ordered), 256)])
     phi = np.hstack([k.astype(np.float64) @ root, np.ones((len(ordered), 1))])
-    y = np.array([[1.0 if l == lang else 0.0 for lang in languages] for l in known])
+    of = {lang: i for i, lang in enumerate(languages)}
+    y = np.zeros((len(known), len(languages)))
+    y[np.arange(len(known)), [of[l] for l in known]] = 1.0
     # Each language weighs the same, however many texts of it are in the sample.
-    weight = np.array([len(known) / len(languages) / known.count(l) for l in known])[:, None]
+    often = Counter(known)
+    weight = np.array([len(known) / len(languages) / often[l] for l in known])[:, None]
     penalty = RIDGE * np.eye(phi.shape[1])
     penalty[-1, -1] = 1e-9
     beta = np.linalg.solve(phi.T @ (phi * weight) + penalty * len(known) / 100, phi.T @ (y * weight))
@@ -104,22 +111,40 @@ def fit(sample: list[tuple[str, bytes]]) -> tuple[list[str], np.ndarray]:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[str, bytes]]:
-    """Presence bins of at most ``per_language`` texts of each of at most 200 languages, drawn by hash.
+    """Presence bins of at most ``per_language`` texts of each language and about SAMPLE_TEXTS in all.
 
-    Ranks are cut before the shuffle and on ids alone; only the chosen texts are read in full.
+    Ids are drawn by hash. The number of ids of each language tells below which hash about twice
+    as many lie as are wanted; only those are ranked, so no task ranks a whole language. One text
+    is kept of each drawn id, however many rows repeat it, and the smallest bins of them.
     """
+    spark = docs.sparkSession
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.xxhash64(id_col, F.lit(5)).alias("draw"))
-    common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    ranked = rows.where(F.col("lang").isin(common)).withColumn("rank", F.row_number().over(
-        Window.partitionBy("lang").orderBy("draw"))).where(F.col("rank") <= per_language)
-    # A few thousand pairs by the bounds above, so the larger side is not moved.
-    chosen = F.broadcast(ranked.select(F.col("lang").alias("c_lang"), F.col("draw").alias("c_draw")).distinct())
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()}
+    if not sizes:
+        return []
+    wanted = min(per_language, max(4, SAMPLE_TEXTS // len(sizes)))
+    below = {lang: min(1.0, 2.0 * (wanted + 10) / max(n, 1)) for lang, n in sizes.items()}
+    chosen, todo = [], below
+    while todo:
+        limits = spark.createDataFrame(
+            [(lang, int(share * (1 << 63)) * 2 - (1 << 63) if share < 1 else (1 << 63) - 1) for lang, share in todo.items()],
+            "lang string, highest long")
+        ids = rows.join(F.broadcast(limits), "lang").where("draw <= highest").select("lang", "draw").distinct()
+        ranked = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw")))
+        found = ranked.where(F.col("rank") <= wanted).select("lang", "draw").collect()
+        counts = Counter(r["lang"] for r in found)
+        # Too few below the limit: again for that language, from all its ids in the end.
+        again = {lang: min(1.0, share * 16) for lang, share in todo.items() if share < 1 and counts[lang] < wanted}
+        chosen += [tuple(r) for r in found if r["lang"] not in again]
+        todo = again
+    # At most SAMPLE_TEXTS pairs, or four of each language.
+    drawn = F.broadcast(spark.createDataFrame(chosen, "c_lang string, c_draw long"))
     texts = docs.withColumn("_draw", F.xxhash64(id_col, F.lit(5))).join(
-        chosen, (F.col("_draw") == F.col("c_draw")) & (F.col(lang_col) == F.col("c_lang")), "left_semi"
-    ).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    found = texts.mapInArrow(_bins, "lang string, bins binary")
-    return [(r["lang"], bytes(r["bins"])) for r in found.collect()]
+        drawn, (F.col("_draw") == F.col("c_draw")) & (F.col(lang_col) == F.col("c_lang"))
+    ).select(F.col("c_lang").alias("lang"), F.col(text_col).alias("text"), F.col("c_draw").alias("draw"))
+    found = texts.mapInArrow(_bins, "lang string, draw long, bins binary")
+    return [(r["lang"], bytes(r["bins"])) for r in found.groupBy("lang", "draw").agg(F.min("bins").alias("bins")).collect()]
 
 
 def score_batches(languages: list[str], weights: np.ndarray):
@@ -170,6 +195,10 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def drop_unidentified(docs: DataFrame, least_score: float = 0.2) -> DataFrame:
     """The rows of ``docs`` with a language: not ``und``, and scored at least ``least_score``."""
-    names = [c for c in docs.columns if c != "doc_id"]
-    found = identify_languages(docs, carry=names)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*docs.columns)
+    languages, weights = fit(training_sample(docs, "doc_id", "text", "lang", PER_LANGUAGE))
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    # The row goes as one column, so no name of its own columns can clash.
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("_text"), letters.alias("_letters"))
+    schema = T.StructType([whole.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    found = whole.mapInArrow(score_batches(languages, weights), schema)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")

@@ -143,6 +143,22 @@ def cube_sample(units: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         level += 1
 
 
+def numbered(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """Add ``number``: 0, 1, 2, ... for the rows of each ``key``.
+
+    Counted within the partition that ``at`` (a monotonically increasing id) tells, and carried from
+    partition to partition, so a key that very many rows share is in no task as a whole.
+    """
+    rows = rows.withColumn("part", F.shiftright(F.col(at), 33))
+    counts = rows.groupBy(key, "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(key).alias("k"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    local = F.row_number().over(Window.partitionBy(key, "part").orderBy(at)) - 1
+    counted = rows.withColumn("local", local)
+    return counted.join(counts, (F.col(key) == F.col("k")) & (F.col("part") == F.col("p"))).withColumn(
+        "number", (F.col("off") + F.col("local")).cast("long")).drop("k", "p", "part", "off", "local")
+
+
 def _text_hash() -> Column:
     return F.xxhash64("text")
 
@@ -160,8 +176,10 @@ def mix_sources(docs: DataFrame, size: Column | None = None, seed: int = 17, **t
         docs.select(
             F.col("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"),
             _text_hash().alias("hash"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("draw"),
-        ).withColumn("at", F.monotonically_increasing_id()), "mix-sizes",
+        ).withColumn("at", F.monotonically_increasing_id()), "mix-draws",
     )
+    # Equal rows get draws of their own by their number, which is the same set of draws in every rerun.
+    narrow = stored(numbered(narrow, "draw", "at").withColumn("draw", F.xxhash64("draw", "number")).drop("number"), "mix-sizes")
     goals = stored(source_targets(narrow, **targets), "mix-targets")
     joined = narrow.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -186,10 +204,11 @@ def take_mix(docs: DataFrame) -> DataFrame:
         mix_sources(docs).groupBy(*key).agg(F.sum("_copies").alias("_copies"), F.count("*").alias("_rows"))
         .where("_copies > 0"), "mix-copies",
     ).alias("c")
-    marked = docs.withColumns({"_size": n_words(F.col("text")), "_hash": _text_hash()}).alias("d")
+    marked = docs.select(
+        F.struct(*docs.columns).alias("row"), "doc_id", n_words(F.col("text")).alias("_size"), _text_hash().alias("_hash")).alias("d")
     on = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._size") == F.col("c._size")) & (
         F.col("d._hash") == F.col("c._hash"))
     single = marked.join(shared.where("c._rows = 1"), on).select("d.*", "c._copies")
     twins = marked.join(shared.where("c._rows > 1"), on).select("d.*", "c._copies").dropDuplicates(key)
-    return single.unionByName(twins).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    copies = F.sequence(F.lit(1), F.col("_copies").cast("int"))
+    return single.unionByName(twins).select("row", F.explode(copies).alias("_copy")).select("row.*")

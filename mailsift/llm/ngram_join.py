@@ -40,7 +40,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from mailsift.llm.common import U64, discard, mix, shingle_hashes, span_hashes, stored, text_slices, word_spans
+from mailsift.llm.common import (
+    U64, discard, mix, shingle_hashes, span_hashes, split_by_bitmap, stored, text_slices, word_spans,
+)
 from mailsift.llm.components import components
 from mailsift.session import scratch_path
 
@@ -230,25 +232,6 @@ def verify_batches(percent: int):
     return run
 
 
-def _bitmap_filter(docs: DataFrame, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """Rows of ``docs`` whose ``doc`` may be in ``ids``: a 2 MiB bitmap of hashes, whatever the input.
-
-    It only spares movement; with more ids than bits it lets everything pass.
-    """
-    place = F.pmod(F.xxhash64("doc"), F.lit(bits)) + 1
-    maps = (
-        ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
-    )
-    at = F.bitmap_bit_position("p")
-    byte = F.conv(F.hex(F.substring("bitmap", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.expr("shiftright(byte, cast(bitmap_bit_position(p) % 8 as int)) & 1") == 1
-    return (
-        docs.withColumn("p", place).withColumn("bucket", F.bitmap_bucket_number("p"))
-        .join(F.broadcast(maps), "bucket").withColumn("byte", byte).where(hit).select(*docs.columns)
-    )
-
-
 def _may_be_similar(x: str, y: str, percent: int) -> Column:
     """Sizes and the Hamming distance of the sketches allow it; columns are named ``x_n_tokens`` and so on."""
     a, b = F.col(f"{x}_n_tokens"), F.col(f"{y}_n_tokens")
@@ -299,7 +282,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     seats = stored(kept, "sieved")
     involved = stored(seats.select("doc").distinct(), "involved")
     sets = stored(
-        _bitmap_filter(known, involved).join(involved, "doc", "left_semi").select("doc", "text")
+        # Few of them are not involved after all; a set too many is never asked for.
+        split_by_bitmap(known, F.col("doc"), involved, F.col("doc"))[1].select("doc", "text")
         .mapInArrow(set_batches(k), SET_SCHEMA), "sets",
     )
 
@@ -395,5 +379,6 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
 
     All columns and rows of what stays are kept; rows without id have no group and stay.
     """
-    gone = near_duplicates(docs, k, percent).where("doc_id <> component_id").select("doc_id")
-    return docs.join(stored(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(near_duplicates(docs, k, percent).where("doc_id <> component_id").select("doc_id"), "near-copies")
+    sure, perhaps = split_by_bitmap(docs, F.col("doc_id"), gone, F.col("doc_id"))
+    return sure.unionByName(perhaps.join(gone, "doc_id", "left_anti").select(*docs.columns))

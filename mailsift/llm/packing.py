@@ -10,12 +10,18 @@ one has no conflict; that is the tightest compatible bin. Without one a bin is o
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from mailsift.llm.common import WORD, n_words, single_spaced, stored
+from mailsift.llm.common import WORD, n_words, single_spaced, stored, text_slices, word_spans
 
 CAPACITY = 2048
 BLOCK_PIECES = 8192
@@ -90,11 +96,12 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
     blocks = max(1, -(-rests.count() // block_pieces))
     packed = rests.withColumn("block", F.pmod("draw", F.lit(blocks))).groupBy("block").applyInPandas(
         _pack_block(capacity, per_source), "at long, bin_id long")
-    # Full pieces: bins of their own, numbered below zero by row and piece.
-    wholes = narrow.where(full > 0).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)))
+    # Full pieces: bins of their own, numbered below zero one after the other.
+    wholes = _numbered(narrow.where(full > 0), full.cast("long")).withColumn(
+        "piece", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)))
     of_whole = wholes.select(
         "doc_id", "at", "cluster", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n_words"),
-        (-1 - F.col("at") * (1 << 20) - F.col("piece")).alias("bin_id"))
+        (-1 - F.coalesce("before", F.lit(0)) - F.col("piece")).alias("bin_id"))
     of_rest = narrow.where((rest > 0) | (F.col("size") == 0)).join(stored(packed, "pack-bins"), "at", "left").select(
         "doc_id", "at", "cluster", full.cast("long").alias("piece"), (full * capacity).cast("long").alias("start"),
         rest.alias("n_words"), "bin_id")
@@ -107,6 +114,93 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
     return placed.unionByName(nowhere).drop("at")
 
 
+def _numbered(rows: DataFrame, n: Column) -> DataFrame:
+    """Add ``before``: the sum of ``n`` over all rows with a smaller ``at``.
+
+    Sums are taken per input partition, which ``at`` tells, and one number per partition is carried.
+    """
+    rows = rows.withColumns({"part": F.shiftright("at", 33), "n_": n})
+    parts = rows.groupBy("part").agg(F.sum("n_").alias("n"))
+    earlier = lambda order: order.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("part").alias("p"), F.sum("n").over(earlier(Window.orderBy("part"))).alias("off"))
+    local = rows.withColumn("local", F.sum("n_").over(earlier(Window.partitionBy("part").orderBy("at"))))
+    return local.join(parts, F.col("part") == F.col("p")).withColumn(
+        "before", F.coalesce("off", F.lit(0)) + F.coalesce("local", F.lit(0))).drop("part", "n_", "p", "off", "local")
+
+
+# ---- bins with their texts ------------------------------------------------------------------
+
+_PIECES = "block long, draw long, doc_id long, source string, cluster binary, piece long, n long, text string"
+FLUSH_BYTES = 4 << 20
+
+
+def _cut(blocks: int, capacity: int):
+    """(doc_id, source, text, at) to the pieces of each text, dealt to blocks; the text is cut once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sources, _, rows_at = (c.to_pylist() if i != 2 else c for i, c in enumerate(batch.columns))
+            for first, last, data, offsets in text_slices(batch.column(2), FLUSH_BYTES):
+                starts, ends, at = word_spans(data, offsets)
+                raw, rows = data.tobytes(), []
+                for i in range(last - first):
+                    words = [raw[a:b] for a, b in zip(starts[at[i] : at[i + 1]].tolist(), ends[at[i] : at[i + 1]].tolist())]
+                    cluster = hashlib.md5(b" ".join(words)).digest()
+                    told = rows_at[first + i].to_bytes(8) + cluster
+                    for piece, begin in enumerate(range(0, len(words), capacity)):
+                        own = words[begin : begin + capacity]
+                        draw = xxhash.xxh3_64_intdigest(told, seed=piece) >> 1
+                        rows.append((draw % blocks, draw, ids[first + i], sources[first + i], cluster, piece, len(own), b" ".join(own).decode()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(v, t) for v, t in zip(zip(*rows), (
+                            pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string()))],
+                        names=[part.split()[0] for part in _PIECES.split(", ")])
+
+    return run
+
+
+def _fill(capacity: int, per_source: int):
+    """The pieces of a block to its bins."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        rows = rows.sort_by([("n", "descending"), ("draw", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        at = {name: rows.column(name).combine_chunks() for name in ("n", "source", "cluster", "doc_id")}
+        sources, clusters = (at[c].dictionary_encode("encode").indices.to_pylist() for c in ("source", "cluster"))
+        bins = np.array(best_fit(at["n"].to_pylist(), sources, clusters, capacity, per_source), np.int64)
+        order = np.argsort(bins, kind="stable")
+        ids, n = at["doc_id"].take(order), at["n"].to_numpy()[order]
+        cuts = np.flatnonzero(np.diff(bins[order], prepend=-1))
+        ends = pa.array(np.append(cuts, len(order)).astype(np.int32))
+        texts = pa.ListArray.from_arrays(ends, rows.column("text").combine_chunks().take(order))
+        return pa.table({
+            "bin_id": pa.array(bins[order][cuts] + (block << 24)), "doc_ids": pa.ListArray.from_arrays(ends, ids),
+            "n_words": pa.array(np.add.reduceat(n, cuts)), "text": pc.binary_join(texts, "\n")})
+
+    return run
+
+
+def pack_texts(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, block_pieces: int = 4096) -> DataFrame:
+    """``bin_id doc_ids n_words text``: the rows of ``docs`` packed into bins, with their texts.
+
+    The rule is that of :func:`pack_documents`: a bin holds at most ``capacity`` words, no two
+    pieces of equal texts and at most ``per_source`` pieces of a source. A piece is its words
+    joined by single spaces; pieces are joined by a line break. Each text is cut where it is read and
+    each piece moves once, with its text, to the block that packs it; a block is of bounded size,
+    as pieces are. Rows that repeat are packed each for itself, and dealt by their place in the
+    input, so however many there are they spread. Null sources count as one source. Texts without
+    words are in no bin. Pieces of one size are taken in the order of their draw. Other columns
+    are ignored.
+    """
+    own = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    pieces = own.agg(F.sum(F.ceil(n_words(F.col("text")) / capacity))).first()[0] or 0
+    blocks = max(1, -(-int(pieces) // block_pieces))
+    own = own.withColumn("at", F.monotonically_increasing_id())
+    return own.mapInArrow(_cut(blocks, capacity), _PIECES).groupBy("block").applyInArrow(
+        _fill(capacity, per_source), "bin_id long, doc_ids array<long>, n_words long, text string")
+
+
 def assemble(docs: DataFrame, placed: DataFrame) -> DataFrame:
     """``bin_id doc_ids n_words text``: the bins of ``pack_documents(docs)`` with their texts.
 

@@ -138,6 +138,53 @@ def test_mix_meets_targets_and_reruns_agree(spark):
         assert abs(taken - target) <= max(2 * largest, 0.02 * target)
 
 
+def plain_targets(sizes, weights=(5, 2, 1), share=1.5, top=2.0):
+    """Excess shared again and again until no source is above its stop."""
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, open_, target = share * sum(sizes.values()), set(names), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > top * sizes[s]}
+        for s in over or open_:
+            target[s] = top * sizes[s] if over else level * weight[s]
+        left -= sum(target[s] for s in over)
+        open_ = open_ - over if over else set()
+    return target
+
+
+def test_targets_equal_shared_excess(spark):
+    draw = random.Random(6)
+    for n in (1, 2, 5, 9):
+        sizes = {f"s{i}" if i else None: draw.choice([0, 3, 50, 4000]) + 1 for i in range(n)}
+        rows = spark.createDataFrame(list(sizes.items()), "source string, size long")
+        found = {r.source: r.target for r in mixing.source_targets(rows).collect()}
+        want = plain_targets(sizes)
+        assert found.keys() == want.keys() and all(abs(found[s] - want[s]) < 1e-6 * (1 + want[s]) for s in want)
+
+
+def test_balance_of_both_totals(spark):
+    """Words and documents of each source come near their expectation."""
+    draw = random.Random(7)
+    texts = [" ".join(["w"] * draw.randrange(1, 90)) for _ in range(3000)]
+    docs = docs_of(spark, texts, [draw.choice("aaaaab") for _ in texts])
+    found = mixing.mix_sources(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(
+        F.sum("_copies").alias("n"), F.sum(F.col("_copies") * F.col("_size")).alias("words"), F.count("*").alias("docs"),
+        F.first("_target").alias("target"), F.first("_source_size").alias("size")).collect()
+    for r in found:
+        assert abs(r.words - r.target) <= 180 and abs(r.n - r.docs * r.target / r.size) <= 3
+
+
+def test_equal_rows_are_dealt_out_and_numbered(spark):
+    docs = spark.range(0, 20_000, 1, 6).select(F.lit(4).alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    rows = mixing.numbered(docs.withColumn("at", F.monotonically_increasing_id()).withColumn("draw", F.lit(1)), "draw", "at")
+    assert sorted(r.number for r in rows.collect()) == list(range(20_000))
+    draws = rows.select(F.xxhash64("draw", "number").alias("draw"))
+    blocks = draws.groupBy(F.pmod(F.xxhash64("draw", F.lit(0)), F.lit(5))).count().collect()
+    assert len(blocks) == 5 and max(r["count"] for r in blocks) < 4500
+    assert abs(mixing.mix_sources(docs).agg(F.sum("_copies")).first()[0] - 30_000) <= 2
+
+
 def test_mix_awkward_rows(awkward, nothing):
     found = mixing.mix_sources(awkward).collect()
     assert len(found) == 11 and all(r["_copies"] == 0 for r in found if r["_size"] == 0)
@@ -166,6 +213,44 @@ def test_best_fit_is_the_tightest_compatible_bin():
         bins[got].append((size, source, cluster))
 
 
+def check_bins(docs, bins, capacity=packing.CAPACITY, per_source=packing.PER_SOURCE):
+    """Every word once and in order, no two pieces of equal texts and no crowd of a source in a bin."""
+    bins = bins.collect()
+    rows = docs.collect()
+    source_of, text_of = {r.doc_id: r.source for r in rows}, {r.doc_id: (r.text or "").split() for r in rows}
+    assert len({r.bin_id for r in bins}) == len(bins)
+    for r in bins:
+        pieces = r.text.split("\n")
+        assert len(pieces) == len(r.doc_ids) and r.n_words == len(r.text.split()) <= capacity
+        counts = {}
+        for i in r.doc_ids:
+            counts[source_of[i]] = counts.get(source_of[i], 0) + 1
+        assert max(counts.values()) <= per_source
+        whole = [tuple(text_of[i]) for i in r.doc_ids]
+        assert len(set(whole)) == len(whole)
+    assert sorted(w for r in bins for w in r.text.split()) == sorted(w for r in rows for w in (r.text or "").split())
+
+
+def test_texts_are_packed_in_one_move(spark, nothing):
+    texts = [" ".join(words(i, n)) for i, n in enumerate([3, 5000, 2048, 2049, 700, 0, 1300, 1] + [90] * 60)] + [None] + ["same text"] * 40
+    docs = docs_of(spark, texts, [None if i % 5 == 0 else "abc"[i % 3] for i in range(len(texts))])
+    check_bins(docs, packing.pack_texts(docs))
+    check_bins(docs, packing.pack_texts(docs, capacity=50, block_pieces=16), 50)
+    repeated = docs.unionByName(docs)
+    bins = packing.pack_texts(repeated).agg(F.sum("n_words")).first()[0]
+    assert bins == 2 * sum(len((t or "").split()) for t in texts)
+    assert packing.pack_texts(nothing).count() == 0
+    assert packing.pack_texts(docs)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_packing_takes_very_many_partitions(spark):
+    docs = docs_of(spark, [" ".join(words(i, 3000 if i % 7 == 0 else 5)) for i in range(30)]).repartition(2000, "doc_id")
+    placed = packing.pack_documents(docs)
+    assert placed.agg(F.sum("n_words")).first()[0] == sum(3000 if i % 7 == 0 else 5 for i in range(30))
+    whole = placed.where("n_words = 2048")
+    assert whole.count() == whole.select("bin_id").distinct().count() == 5 and whole.where("bin_id >= 0").count() == 0
+
+
 def test_packed_bins_hold_every_word_once(spark, awkward, nothing):
     texts = [" ".join(words(i, n)) for i, n in enumerate([3, 5000, 2048, 2049, 700, 0, 1300, 1])] + [None]
     docs = docs_of(spark, texts, ["a", "a", "b", None, "b", "a", None, "c", "c"])
@@ -237,6 +322,32 @@ def test_quality_counts_and_verdicts(spark, awkward, nothing):
     assert quality.quality_verdicts(nothing, labels).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    """300 languages of which some have a handful of texts, and one id that very many rows repeat."""
+    draw = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüéèñçøåßабвгдежзиклмнопрст"
+    rows = []
+    for k in range(300):
+        own = ["".join(draw.choice(letters) for _ in range(4)) for _ in range(12)]
+        rows += [(k * 100 + i, " ".join(draw.choice(own) for _ in range(40)), f"l{k}") for i in range(3 + k % 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.identify_languages(docs, carry=["lang"]).collect()
+    assert len({r.lang_pred for r in found}) == 300
+    assert sum(r.lang == r.lang_pred for r in found) >= 0.95 * len(found)
+    twins = spark.range(20_000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    more = spark.range(1000, 3000).select("id", F.concat(F.lit("mot "), F.col("id")), F.lit("fr"))
+    sample = langid.training_sample(twins.union(more), "doc_id", "text", "lang", 50)
+    assert sorted(l for l, _ in sample) == ["en"] + ["fr"] * 50
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns(
+        {c: F.lit("mine") for c in ("score", "lang_pred", "_copies", "_copy", "row", "sha", "twin", "p", "page", "bitmap", "_size", "_text", "k", "c", "d")})
+    for stage in (langid.drop_unidentified, exact_dedup.drop_exact_duplicates, ngram_join.keep_one_of_each, mixing.take_mix):
+        kept = stage(docs)
+        assert kept.columns == docs.columns and kept.where("score = 'mine' and _copies = 'mine' and row = 'mine'").count() == kept.count() > 0
+
+
 # ---- pages, licences, chat ------------------------------------------------------------------
 
 
