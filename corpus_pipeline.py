@@ -37,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bins of at most 2,048 words: ``bin_id doc_ids n_words text``."""
-    return packing.assemble(docs, packing.pack_documents(docs))
+    return packing.pack_texts(docs)
 
 
 STAGES = [
