@@ -42,11 +42,11 @@ def discard(spark: SparkSession, path: str) -> None:
 def split_by_bitmap(docs: DataFrame, key: Column, ids: DataFrame, id_key: Column) -> tuple[DataFrame, DataFrame]:
     """``docs`` as ``(sure, perhaps)``: rows whose ``key`` is in no row of ``ids``, and those that may be.
 
-    A bitmap of hashes tells them apart, 16 bits an id but 64 MiB at most, so that it can be sent
+    A bitmap of hashes tells them apart, 64 bits an id but 64 MiB at most, so that it can be sent
     to every task. It only spares movement: what may be in ``ids`` is left to an exact join, and
     with far more ids than bits everything may be.
     """
-    pages = min(max(1, -(-ids.count() * 16 // PAGE_BITS)), MOST_PAGES)
+    pages = min(max(1, -(-ids.count() * 64 // PAGE_BITS)), MOST_PAGES)
 
     def place(of: Column) -> Column:
         return F.pmod(F.xxhash64(of), F.lit(pages * PAGE_BITS)) + 1

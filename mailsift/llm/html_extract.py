@@ -1,10 +1,11 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a light tree. Subtrees that are no content by their element, role or class are cut.
-Each paragraph earns points for its length and commas and passes them to its ancestors, in full to
+A page becomes a light tree. Subtrees that are no content by their element or role are cut, and those
+that are none by their class unless the page has no other paragraph. Each paragraph earns points for its length and commas and passes them to its ancestors, in full to
 the parent, half to the one above and less beyond; a container's points are discounted by the share
 of its text that is links. The best container is kept, widened to the article it stands in, with
-those siblings that score well too, and its blocks are written in page order.
+those siblings that score well too or are headings and paragraphs, and its blocks are written in
+page order. Of containers with equal points the first in the page is the best.
 """
 
 from __future__ import annotations
@@ -44,40 +45,51 @@ _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?")
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+# Class names that say what a page has beside the element, not what the element is.
+_BESIDE = re.compile(r"(?:has|have|no|not|with|without|is|show|hide|hidden|enable|disable|js)[-_]", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_RAW_ENDS = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SPARED = 10  # times the text of the rest of a page from which a suspect is its content
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "points", "size", "links", "n_links", "inside")
+    __slots__ = ("tag", "parent", "items", "points", "size", "links", "n_links", "inside", "suspect")
 
     def __init__(self, tag: str, parent: "Node | None"):
         self.tag, self.parent, self.items = tag, parent, []
         self.points, self.size, self.links, self.n_links = 0.0, 0, 0, 0
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.suspect = False
 
 
-def _no_content(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not inside:
-        return True
+KEPT, SUSPECT, CUT = range(3)
+
+
+def _judged(tag: str, attributes: str, inside: bool) -> int:
+    """Whether an element is content by its tag, role and style, and by its class or id."""
+    if tag in DROPPED and tag != "form" or tag == "header" and not inside:
+        return CUT
+    found = SUSPECT if tag == "form" else KEPT
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return found
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "role" and value.lower() in ROLES or name == "hidden":
-            return True
-        if name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and not NOT_CONTENT.isdisjoint(_PARTS.split(_HUMP.sub(" ", value).lower())):
-            return True
-    return False
+        if name == "role" and value.lower() in ROLES - {"form"} or name == "hidden":
+            return CUT
+        if name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
+            return CUT
+        if name in ("class", "id"):
+            own = " ".join(x for x in value.split() if not _BESIDE.match(x))
+            if not NOT_CONTENT.isdisjoint(_PARTS.split(_HUMP.sub(" ", own).lower())):
+                found = SUSPECT
+    return found
 
 
 def parse(page: str) -> Node:
-    """The content tree of a page; what is no content is left out while reading."""
+    """The content tree of a page; what is certainly no content is left out while reading."""
     root = node = Node("#root", None)
     at, n, depth_out, open_tags = 0, len(page), 0, []
-    lower = None
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -109,9 +121,8 @@ def parse(page: str) -> Node:
                 if not depth_out:
                     open_tags.pop()
             elif not closing and tag in RAW:
-                lower = page.lower() if lower is None or len(lower) != n else lower
-                end = lower.find(f"</{tag}", at)
-                at = n if end < 0 else end
+                end = _RAW_ENDS[tag].search(page, at)
+                at = end.start() if end else n
             elif closing and tag in ("body", "html"):
                 depth_out = 0
                 open_tags.pop()
@@ -137,11 +148,11 @@ def parse(page: str) -> Node:
                 up = up.parent
         if tag == "br":
             node.items.append(" ")
-        if _no_content(tag, m[3], node.inside or node.tag in ("article", "main")):
+        judged = _judged(tag, m[3], node.inside or node.tag in ("article", "main"))
+        if judged == CUT:
             if tag in RAW:
-                lower = page.lower() if lower is None else lower
-                end = lower.find(f"</{tag}", at)
-                end = n if end < 0 else page.find(">", end)
+                end = _RAW_ENDS[tag].search(page, at)
+                end = page.find(">", end.start()) if end else -1
                 at = n if end < 0 else end + 1
             elif tag not in VOID and not m[3].endswith("/"):
                 depth_out = 1
@@ -154,6 +165,7 @@ def parse(page: str) -> Node:
                 node.items.append(Node(tag, node))
             continue
         child = Node(tag, node)
+        child.suspect = judged == SUSPECT
         node.items.append(child)
         node = child
     return root
@@ -168,6 +180,39 @@ def _walk(root: Node) -> list[Node]:
     return order
 
 
+def prune(root: Node) -> None:
+    """Empty the suspects, but for the one with most text where next to nothing else on the page is text.
+
+    A suspect around the main element is none, and beside an article or main element with any text
+    none is spared.
+    """
+    order = _walk(root)
+    text: dict[Node, int] = {}  # characters that are not in links, in each subtree
+    holds_main: set[Node] = set()
+    for node in reversed(order):
+        inside = [x for x in node.items if not isinstance(x, str)]
+        own = sum(len(x.strip()) for x in node.items if isinstance(x, str))
+        text[node] = 0 if node.tag == "a" else own + sum(text[x] for x in inside)
+        if node.tag == "main" or any(x in holds_main for x in inside):
+            holds_main.add(node)
+    scope: Node | None = root
+    while scope is not None:
+        suspects, named, stack = [], False, [x for x in scope.items if not isinstance(x, str)]
+        while stack:  # the outermost ones
+            node = stack.pop()
+            if node.suspect and node not in holds_main:
+                suspects.append(node)
+            else:
+                named = named or node.tag in ("article", "main") and text[node] > 0
+                stack.extend(x for x in node.items if not isinstance(x, str))
+        rest = text[scope] - sum(text[x] for x in suspects)
+        spared = max(suspects, key=lambda x: text[x], default=None)
+        scope = spared if spared and not named and text[spared] > SPARED * rest else None
+        for node in suspects:
+            if node is not scope:
+                node.items = []
+
+
 def score(root: Node) -> list[Node]:
     """Sets sizes and points of all nodes; returns them parents first."""
     order = _walk(root)
@@ -216,7 +261,7 @@ def blocks(nodes: list[Node]) -> list[str]:
             elif isinstance(x, str):
                 held.append(x)
             else:
-                if x.tag in ("ul", "ol", "dl", "table") and x.n_links >= 3 and x.links >= 0.9 * x.size:
+                if x.tag in ("ul", "ol", "dl", "table") and not x.inside and x.n_links >= 3 and x.links >= 0.9 * x.size:
                     end()
                     continue
                 if x.tag in BLOCKS:
@@ -232,6 +277,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    prune(root)
     order = score(root)
     containers = [x for x in order if x.parent is not None and x.points > 0 and x.tag not in ("p", "li", "td", "dd")]
     if not containers:
@@ -242,13 +288,17 @@ def main_text(page: str | None) -> str:
         up = up.parent
     best = up or best
     least = max(10.0, 0.2 * best.points)
-    kept = []
+    kept, up = [], best
+    while up.parent is not None and up.parent.parent is not None:  # titles that stand further out
+        up = up.parent
+        before = [x for x in up.parent.items[: up.parent.items.index(up)] if not isinstance(x, str)]
+        kept = [x for x in before if x.tag == "h1"] + kept
     for x in best.parent.items:
         if isinstance(x, str):
             continue
         fits = x.points >= least and x.tag not in ("ul", "ol", "table")
-        alone = x.tag == "p" and x.size > 80 and x.links < 0.25 * x.size
-        if x is best or fits or alone:
+        text = (x.tag in HEADINGS or x.tag in ("p", "blockquote", "pre")) and x.links < 0.5 * x.size
+        if x is best or fits or text:
             kept.append(x)
     return "\n".join(blocks(kept))
 

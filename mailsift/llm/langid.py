@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from mailsift.llm.common import U64, text_slices
@@ -147,12 +148,21 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return [(r["lang"], bytes(r["bins"])) for r in found.groupBy("lang", "draw").agg(F.min("bins").alias("bins")).collect()]
 
 
-def score_batches(languages: list[str], weights: np.ndarray):
+def score_batches(languages: list[str], weights: np.ndarray, inside: int | None = None):
+    """Batches whose last two columns are the text and whether it has a letter.
+
+    With ``inside`` the text is that field of a struct, which is kept, so it is not sent twice.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*languages, UNKNOWN])
         for batch in batches:
             has_letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            for at, end, data, offsets in text_slices(batch.column(batch.num_columns - 2)):
+            texts = batch.column(batch.num_columns - 2)
+            kept = batch.num_columns - 2
+            if inside is not None:
+                texts, kept = pc.struct_field(texts, inside), kept + 1
+            for at, end, data, offsets in text_slices(texts):
                 for first, last, row, bin_ in presence(data, offsets):
                     n = last - first
                     sizes = np.bincount(row, minlength=n)
@@ -164,9 +174,9 @@ def score_batches(languages: list[str], weights: np.ndarray):
                     top = f.max(axis=1) if languages else np.zeros(n)
                     score = np.where(known, np.clip(top, 0, 1), 0.0).astype(np.float64)
                     yield pa.RecordBatch.from_arrays(
-                        [*[c.slice(at + first, n) for c in batch.columns[:-2]],
+                        [*[c.slice(at + first, n) for c in batch.columns[:kept]],
                          pa.array(names[best].tolist(), pa.string()), pa.array(score)],
-                        names=[*batch.schema.names[:-2], "lang_pred", "score"])
+                        names=[*batch.schema.names[:kept], "lang_pred", "score"])
 
     return run
 
@@ -198,7 +208,7 @@ def drop_unidentified(docs: DataFrame, least_score: float = 0.2) -> DataFrame:
     languages, weights = fit(training_sample(docs, "doc_id", "text", "lang", PER_LANGUAGE))
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     # The row goes as one column, so no name of its own columns can clash.
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("_text"), letters.alias("_letters"))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), letters.alias("_letters"))
     schema = T.StructType([whole.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    found = whole.mapInArrow(score_batches(languages, weights), schema)
+    found = whole.mapInArrow(score_batches(languages, weights, docs.columns.index("text")), schema)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")

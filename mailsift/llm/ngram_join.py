@@ -232,6 +232,12 @@ def verify_batches(percent: int):
     return run
 
 
+def _put(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """A stored table and its path, to discard it when nothing reads it any more."""
+    path = scratch_path(df.sparkSession, label)
+    return stored(df, label, path), path
+
+
 def _may_be_similar(x: str, y: str, percent: int) -> Column:
     """Sizes and the Hamming distance of the sketches allow it; columns are named ``x_n_tokens`` and so on."""
     a, b = F.col(f"{x}_n_tokens"), F.col(f"{y}_n_tokens")
@@ -272,14 +278,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     inside = signatures.select("doc", F.explode("near").alias("x")).select("x.code", "doc", "x.pivot")
     # Seats: who stands in a bucket, those met inside slices and those that stood for the slices.
     members = buckets.unionByName(inside)
-    seats = stored(members.select("code", "doc").union(members.select("code", "pivot")).distinct(), "seats")
+    seats, at = _put(members.select("code", "doc").union(members.select("code", "pivot")).distinct(), "seats")
     discard(spark, scratch)  # the codes are the bulk of what is stored, and all that matters of them is in the seats
     band = F.expr("cast(code & 63 as int)").alias("band")
     shared = F.element_at(F.array(*[F.lit(band_plan(i, percent)[2]) for i in range(64)]), F.col("band") + 1)
-    # Who shares fewer codes of a band than similar sets do has no partner in it.
-    enough = seats.groupBy("doc", band).agg(F.count("*").alias("weight")).where(F.col("weight") >= shared)
-    kept = seats.select("code", "doc", band).join(stored(enough, "enough"), ["doc", "band"]).select("code", "doc", "weight")
-    seats = stored(kept, "sieved")
+    # Who shares fewer codes of a band than similar sets do has no partner in it. A document's codes are
+    # as many as its text is long, so they can stand in one row.
+    own_codes = seats.groupBy("doc", band).agg(F.collect_list("code").alias("codes")).where(F.size("codes") >= shared)
+    seats, sieved = _put(own_codes.select(F.explode("codes").alias("code"), "doc", F.size("codes").alias("weight")), "sieved")
+    discard(spark, at)
     involved = stored(seats.select("doc").distinct(), "involved")
     sets = stored(
         # Few of them are not involved after all; a set too many is never asked for.
@@ -293,9 +300,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sketches = sets.drop("tokens")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
-        close = pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").where(
-            _may_be_similar("a", "b", percent)).select("a", "b")
-        tokens = sets.select("doc", "tokens")
+        close = stored(pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").where(
+            _may_be_similar("a", "b", percent)).select("a", "b"), f"close-{label}")
+        asked = close.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+        tokens = split_by_bitmap(sets.select("doc", "tokens"), F.col("doc"), stored(asked, f"asked-{label}"), F.col("doc"))[1]
         return stored(
             close.join(side(tokens, "a"), "a").join(side(tokens, "b"), "b").select("a", "b", "a_tokens", "b_tokens")
             .mapInArrow(verify_batches(percent), "a long, b long"), label,
@@ -315,19 +323,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     for turn in range(PIVOT_TURNS):
         # The members of each open bucket are held against one of it, first the one with most seats.
-        placed = labelled(seats, "doc")
+        placed, at = _put(labelled(seats, "doc"), f"placed-{turn}")
         draw = (-F.col("weight") if turn < 2 else F.xxhash64("doc", F.lit(turn))).alias("draw")
         pivots = stored(
             placed.groupBy("code").agg(
                 F.min("doc_in").alias("lo"), F.max("doc_in").alias("hi"),
                 F.min(F.struct(draw, F.col("doc"), F.col("doc_in"))).alias("pivot"))
             .where("lo <> hi").select("code", "pivot"), f"pivots-{turn}")
-        apart = placed.join(pivots, "code").where("doc_in <> pivot.doc_in").groupBy(
+        open_, left = _put(placed.join(pivots, "code"), f"open-{turn}")
+        discard(spark, at)
+        apart = open_.where("doc_in <> pivot.doc_in").groupBy(
             "doc", F.col("pivot.doc").alias("pivot")).agg(F.count("*").alias("n"))
         if turn == 0:  # one for each: the pivot of most of its codes
             apart = apart.groupBy("doc").agg(F.max(F.struct("n", "pivot")).alias("x")).select("doc", "x.pivot")
         more = verified(apart.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct(),
                         f"links-{turn}")
+        # A bucket that is in one component stays so: only the seats of open ones go on.
+        discard(spark, sieved)
+        seats, sieved = open_.select("code", "doc", "weight"), left
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = stored(components(links, "a", "b"), f"labels-{turn}")

@@ -131,7 +131,7 @@ def _numbered(rows: DataFrame, n: Column) -> DataFrame:
 # ---- bins with their texts ------------------------------------------------------------------
 
 _PIECES = "block long, draw long, doc_id long, source string, cluster binary, piece long, n long, text string"
-FLUSH_BYTES = 4 << 20
+FLUSH_BYTES = 1 << 20
 
 
 def _cut(blocks: int, capacity: int):
@@ -181,7 +181,7 @@ def _fill(capacity: int, per_source: int):
     return run
 
 
-def pack_texts(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, block_pieces: int = 4096) -> DataFrame:
+def pack_texts(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, block_pieces: int = 2048) -> DataFrame:
     """``bin_id doc_ids n_words text``: the rows of ``docs`` packed into bins, with their texts.
 
     The rule is that of :func:`pack_documents`: a bin holds at most ``capacity`` words, no two

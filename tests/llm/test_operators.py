@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -367,6 +368,66 @@ def test_main_text_of_pages(spark):
         spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+LONG = "A sentence, with commas, that goes on for a while, so that it counts as running text here."
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div class='content has-sidebar'><p>{LONG}</p></div>", [LONG]),
+    (f"<body><div class='page no-comments'><h2>Title</h2><p>{LONG}</p><p>Short.</p></div></body>", ["Title", LONG, "Short."]),
+    (f"<div class='post'><p>{LONG}</p></div><div class='site-footer'><p>{LONG} Imprint.</p></div>", [LONG]),
+    (f"<div class='widget'><p>{LONG}</p></div><div class='ad'>Buy</div>", [LONG]),
+    (f"<div class='promo'><div class='ads'>x</div><p>{LONG}</p></div>", [LONG]),
+    (f"<form id='aspnetForm'><div><p>{LONG}</p><input value=x></div></form>", [LONG]),
+    (f"<div><p>{LONG}</p></div><form><p>Your name please, so that we can write to you</p></form>", [LONG]),
+    (f"<script>İ</script><p>{LONG}</p><SCRIPT>x</ScRiPt><p>{LONG}İ</p>", [LONG, LONG + "İ"]),
+    (f"<body><h1>Head</h1><div><p>{LONG}</p><p>{LONG}</p></div><p>End of it.</p></body>", ["Head", LONG, LONG, "End of it."]),
+    (f"<body><h1>Head</h1><div><div><p>{LONG}</p><p>{LONG}</p></div></div></body>", ["Head", LONG, LONG]),
+    (f"<article><p>{LONG}</p><h2>References</h2><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul></article>",
+     [LONG, "References", "One", "Two", "Three"]),
+    (f"<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul><div><p>{LONG}</p></div>", [LONG]),
+    (f"<article><p>{LONG}</p><div class='comments'><p>{LONG}</p><p>{LONG}</p></div></article>", [LONG]),
+    (f"<article><p>{LONG}&nbsp;&amp;<br>x</p>text <b>bold</b>\n beside<aside>no</aside>after</article>", [LONG + " & x", "text bold beside", "after"]),
+])
+def test_main_text_of_odd_pages(page, want):
+    assert html_extract.main_text(page) == "\n".join(want)
+
+
+def plain_page(draw):
+    """A page and its main text, written together."""
+    words = lambda n: " ".join(draw.choice(["alpha", "beta,", "gamma", "delta.", "épsilon"]) for _ in range(n))
+    blocks, html = [], []
+    for _ in range(draw.randrange(2, 9)):
+        tag = draw.choice(["p", "p", "p", "h2", "li", "blockquote"])
+        text = words(draw.randrange(3, 60) if tag != "p" else draw.randrange(12, 60))
+        blocks.append(text)
+        body = text.replace(" ", draw.choice([" ", "  ", "\n ", "<b> </b>", "&#32;"]), 1)
+        html.append(f"<ul><li>{body}</ul>" if tag == "li" else f"<{tag}>{body}</{tag}>")
+        if draw.random() < 0.3:
+            html.append(draw.choice(["<div class=ad>Buy this now, please</div>", "<script>if (a<b) x='<p>'</script>", "<!-- <p>no</p> -->",
+                                     "<form><input><button>Go</button></form>", "<aside>See also this</aside>"]))
+    wrap = draw.choice(["<article>{}</article>", "<main><div>{}</div></main>", "<div id=wrap><article class='post has-comments'>{}</article></div>"])
+    noise = ["<nav><a href=1>Home</a><a href=2>News</a></nav>", "<div class='cookie-notice'><p>We use cookies, and more of them, on all of our pages.</p></div>",
+             "<header><h1>Site</h1></header>", f"<footer><p>{words(30)}</p></footer>", f"<div class='sidebar'><p>{words(25)}</p></div>"]
+    draw.shuffle(noise)
+    k = draw.randrange(len(noise))
+    return "<html><body>" + "".join(noise[:k]) + wrap.format("".join(html)) + "".join(noise[k:]) + "</body></html>", "\n".join(blocks)
+
+
+def test_main_text_of_made_pages():
+    draw = random.Random(12)
+    for _ in range(300):
+        page, want = plain_page(draw)
+        assert html_extract.main_text(page) == want, page
+
+
+def test_pages_of_any_shape_take_linear_time():
+    for page in ("<script>x</script>" * 100_000, "İ<SCRIPT>x</script>" * 50_000, "<div class=ad>" * 20_000 + LONG, "<div>" * 20_000 + LONG,
+                 f"<p>{LONG}</p>" * 20_000, "<p" * 50_000, "<!--" * 50_000, "<a href='" * 20_000):
+        began = time.perf_counter()
+        html_extract.main_text(page)
+        assert time.perf_counter() - began < 15, page[:40]
+
+
 def test_licences_inherit_from_the_nearest_directory(spark, nothing):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.txt", "nothing"), (3, "a/b/c/y.txt", None),
             (4, "a/b/c/COPYING", "This work is licensed under the GNU General Public License, version 3."),
