@@ -103,24 +103,50 @@ def resolve_mailbox(
     ).drop("_recipient", "_mailbox")
 
 
-def _shortened(text: str, max_distance: int):
-    """The text and every form of it with up to ``max_distance`` characters left out."""
-    forms = F.array(F.col(text))
-    for _ in range(max_distance):
-        cuts = F.flatten(
-            F.transform(
-                forms,
-                lambda form: F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length(form), F.lit(1))),
-                    lambda i: F.concat(
-                        F.substring(form, F.lit(1), i - 1),
-                        F.substring(form, i + 1, F.length(form)),
-                    ),
-                ),
-            )
-        )
-        forms = F.array_distinct(F.concat(forms, cuts))
-    return forms
+def _segment(length: Column, part: Column, k: int) -> tuple[Column, Column]:
+    """Start and size of part ``part`` (from 0) of ``k + 1`` nearly equal parts; longer ones come last."""
+    size = F.floor(length / F.lit(k + 1)).cast("int")
+    short = F.lit(k + 1) - length % F.lit(k + 1)
+    return part * size + F.greatest(part - short, F.lit(0)), size + (part >= short).cast("int")
+
+
+def brand_signatures(brands: DataFrame, k: int) -> DataFrame:
+    """``brand`` with ``_of`` (its length, a part's number and the part), a row per part that is not empty.
+
+    A brand of at most ``k`` letters also gets a row that stands for itself.
+    """
+    parts = brands.select("brand", F.length("brand").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(k))).alias("i"))
+    start, size = _segment(F.col("n"), F.col("i"), k)
+    part = F.substring("brand", start + 1, size)
+    of = F.struct(F.col("n").alias("n"), F.col("i").alias("i"), part.alias("part"))
+    short = F.struct(F.length("brand").alias("n"), F.lit(-1).alias("i"), F.lit("").alias("part"))
+    return parts.where(size > 0).select("brand", of.alias("_of")).unionByName(
+        brands.where(F.length("brand") <= k).select("brand", short.alias("_of")))
+
+
+def word_signatures(words: DataFrame, k: int) -> DataFrame:
+    """``_plain`` with every ``_of`` that a brand within ``k`` edits has at least one of.
+
+    ``k`` edits leave one of ``k + 1`` parts as it was, moved by ``k`` places at most. Where a brand
+    is so short that parts are empty, a letter of it stays unless the word has ``k`` letters at
+    most, too; those words get the row that stands for the short brand itself.
+    """
+    n = F.length("_plain")
+    lengths = F.sequence(F.greatest(n - k, F.lit(0)), n + k)
+    tried = (
+        words.select("_plain", F.explode(lengths).alias("n"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("i"))
+        .select("*", F.explode(F.sequence(F.lit(-k), F.lit(k))).alias("moved"))
+    )
+    start, size = _segment(F.col("n"), F.col("i"), k)
+    at = start + F.col("moved")
+    part = F.substring("_plain", at + 1, size)
+    of = F.struct("n", "i", part.alias("part"))
+    inside = (size > 0) & (at >= 0) & (at + size <= F.length("_plain"))
+    short = F.struct(F.col("n"), F.lit(-1).alias("i"), F.lit("").alias("part"))
+    brief = words.where(n <= k).select("_plain", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("n"))
+    return tried.where(inside).select("_plain", of.alias("_of")).unionByName(
+        brief.select("_plain", short.alias("_of"))).distinct()
 
 
 def lookalike_domains(
@@ -129,9 +155,10 @@ def lookalike_domains(
     """Pairs of sender domain and brand that differ in at most ``max_distance`` edits.
 
     ``domains`` has a column ``domain``, ``brands`` a column ``brand``; both may be large.
-    Two strings within k edits share a form with at most k characters left out of each, so an
-    equi-join on those forms finds every pair; the edit distance then confirms it. Domains
-    are made distinct first: a sender with a third of all mail is one row here.
+    Brands are cut into ``k + 1`` parts; two strings within ``k`` edits share a part of the brand at
+    nearly the same place, so an equi-join on length, part and place finds every pair; the
+    edit distance then confirms it. The parts of a word are a few dozen, whatever its length.
+    Domains are made distinct first: a sender with a third of all mail is one row here.
     """
     labels = (
         domains.select("domain").distinct()
@@ -139,15 +166,13 @@ def lookalike_domains(
         .withColumn("_plain", plain_letters(F.col("label")))
     )
     words = labels.select("_plain").distinct()
-    words = words.select("_plain", F.explode(_shortened("_plain", max_distance)).alias("_form"))
-    names = brands.select("brand").distinct()
-    names = names.select("brand", F.explode(_shortened("brand", max_distance)).alias("_form"))
+    names = brands.select("brand").where("brand is not null").distinct()
     distance = F.levenshtein(F.col("_plain"), F.col("brand"), max_distance)
     near = (
-        words.join(names, "_form")
+        word_signatures(words, max_distance).join(brand_signatures(names, max_distance), "_of")
+        .select("_plain", "brand").distinct()
         .select("_plain", "brand", distance.alias("distance"))
         .where("distance >= 0")
-        .distinct()
     )
     return (
         labels.join(near, "_plain")

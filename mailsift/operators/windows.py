@@ -12,6 +12,7 @@ from mailsift.functions.timing import RECONNECT, micros, retry_delay
 from mailsift.operators.scans import (
     BLOCK_SECONDS, ROWS_PER_BLOCK, SECOND, dense_cuts, event_cuts, running_values, trailing_sum,
 )
+from mailsift.session import kept
 
 
 def trailing_count(
@@ -104,12 +105,11 @@ def drop_requests(
     * a request with at most ``limit`` requests of any kind in its window is admitted, which
       ordinary windows find out;
     * only requests less than ``seconds`` before a contested one matter to it, and a pause of
-      ``seconds`` between those separates them into episodes that do not affect each other.
+      ``seconds`` between those separates them into episodes that do not affect each other;
+    * an episode of more than ``rows_per_block`` requests is cut into blocks of that many, which
+      run at the same time from guessed states; see :func:`settle_blocks`.
 
-    Episodes are streamed in time order with ``limit`` times of state. A key that never calms
-    down is one episode: its chain of decisions is sequential by nature, but it is neither
-    collected nor held in memory; over a stream, ``rate_limit_stream`` does the same bit by
-    bit. Uncontested rows are spread by their tie. Every request needs a time.
+    Over a stream, ``rate_limit_stream`` does the same bit by bit. Every request needs a time.
     """
     rows = df.select(key, tie, micros(F.col(ts)).alias("_us"))
     order = F.struct(F.col("_us").alias("at"), F.col(tie).alias("tie"))
@@ -132,41 +132,145 @@ def drop_requests(
     )
     opens = F.col("_involved") & (F.col("_before") == 1)
     rows = running_values(
-        rows.select(key, tie, "_us", "_involved", F.when(opens, F.col("_us")).alias("_opens")),
-        [key], "_us", tie, maxima={"_start": F.col("_opens")}, block_seconds=block_seconds, cuts=cuts,
-    )
-    rows = rows.select(
-        key, tie, "_us", "_involved",
-        F.when(F.col("_involved"), F.col("_start")).otherwise(F.pmod(F.xxhash64(tie), F.lit(4096))).alias("_group"),
+        rows.select(key, tie, "_us", "_involved", opens.alias("_opens")),
+        [key], "_us", tie, marks={"_first": F.col("_opens")}, block_seconds=block_seconds, cuts=cuts,
     )
+    chunk = F.floor((F.col("position") - F.col("_first")) / F.lit(rows_per_block))
+    placed = kept(rows.select(
+        F.struct(F.col(key).alias("key"), "_first").alias("_episode"), chunk.alias("_chunk"),
+        key, tie, "_us", "_involved"), "requests")
     schema = T.StructType(
-        [*rows.select(key, tie, "_us").schema.fields, T.StructField("admitted", T.BooleanType())]
+        [*placed.select(key, tie, "_us").schema.fields, T.StructField("admitted", T.BooleanType())])
+    involved, span = placed.where("_involved").drop("_involved"), seconds * SECOND
+    entries, _ = settle_blocks(involved, tie, limit, span)
+    flags = _in_blocks(involved, tie, entries.withColumn("_run", F.col("_chunk")), key).mapInArrow(
+        _flags(key, tie, limit, span), schema)
+    free = placed.where("not _involved").select(key, tie, "_us", F.lit(True).alias("admitted"))
+    return free.unionByName(flags).select(
+        key, tie, F.timestamp_micros("_us").cast(df.schema[ts].dataType).alias(ts), "admitted"
     )
-    span = seconds * SECOND
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        episode, latest = None, []
+
+def _in_blocks(rows: DataFrame, tie: str, blocks: DataFrame, *keep: str) -> DataFrame:
+    """Rows of ``blocks`` in the order of episode, run, chunk and time, each run in one task.
+
+    The first row of a block has no time: it carries ``_node``, ``_from`` (the block's first time)
+    and ``_entry`` (the state to start from; null to go on from the block before in the run).
+    """
+    place = ["_episode", "_run", "_chunk"]
+    body = rows.join(blocks.select(*place), ["_episode", "_chunk"]).select(*place, "_us", tie, *keep)
+    return body.unionByName(
+        blocks.select(*place, "_node", "_from", "_entry"), allowMissingColumns=True
+    ).repartition("_episode", "_run").sortWithinPartitions(*place, "_us", tie)
+
+
+def _segments(batch: pa.RecordBatch) -> Iterator[tuple[int | None, int, int]]:
+    """``(row of a block's first row, or None, start, end)`` of the requests of each block."""
+    heads = np.flatnonzero(batch.column("_us").is_null().to_numpy(zero_copy_only=False)).tolist()
+    if not heads or heads[0] > 0:
+        yield None, 0, heads[0] if heads else batch.num_rows
+    for head, end in zip(heads, [*heads[1:], batch.num_rows]):
+        yield head, head + 1, end
+
+
+def _start(batch: pa.RecordBatch, head: int, latest: list[int], span: int) -> list[int]:
+    """The state at the start of a block: the given one, or what still counts of the last."""
+    entry = batch.column("_entry")[head].as_py()
+    if entry is not None:
+        return entry
+    first = batch.column("_from")[head].as_py()
+    return [t for t in latest if t > first - span]
+
+
+def _flags(key: str, tie: str, limit: int, span: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        latest: list[int] = []
+        for batch in batches:
+            at_us, requests, flags = batch.column("_us"), [], []
+            for head, start, end in _segments(batch):
+                if head is not None:
+                    latest = _start(batch, head, latest, span)
+                requests.append(np.arange(start, end))
+                flags.append(admit_in_order(at_us.slice(start, end - start).to_numpy(), latest, limit, span))
+            rows = pa.array(np.concatenate(requests))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(rows) for c in (key, tie, "_us")], pa.array(np.concatenate(flags))],
+                names=[key, tie, "_us", "admitted"])
+
+    return run
+
+
+def _exits(limit: int, span: int):
+    """The state that each block was entered with and the one it leaves."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, entry, latest = None, [], []
+
+        def told(rows):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))],
+                names=["_node", "_used", "_exit"])
+
         for batch in batches:
-            involved = batch.column("_involved").to_numpy(zero_copy_only=False)
-            busy = np.flatnonzero(involved)
-            at_us = batch.column("_us").to_numpy(zero_copy_only=False)[busy]
-            names = list(zip(*[batch.column(c).take(busy).to_pylist() for c in (key, "_group")]))
-            starts = [i for i, name in enumerate(names) if i == 0 or name != names[i - 1]]
-            flags = np.ones(batch.num_rows, dtype=bool)
-            for start, end in zip(starts, [*starts[1:], len(names)]):
-                if names[start] != episode:
-                    episode, latest = names[start], []
-                flags[busy[start:end]] = admit_in_order(at_us[start:end], latest, limit, span)
-            columns = [batch.column(c) for c in (key, tie, "_us")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(flags)], names=schema.names)
-
-    ordered = rows.repartition(key, "_involved", "_group").sortWithinPartitions(
-        key, "_involved", "_group", "_us", tie
-    )
-    time_type = df.schema[ts].dataType
-    return ordered.mapInArrow(stream, schema).select(
-        key, tie, F.timestamp_micros("_us").cast(time_type).alias(ts), "admitted"
-    )
+            at_us, done = batch.column("_us"), []
+            for head, start, end in _segments(batch):
+                if head is not None:
+                    if node is not None:
+                        done.append((node, entry, list(latest)))
+                    latest = _start(batch, head, latest, span)
+                    node, entry = batch.column("_node")[head].as_py(), list(latest)
+                admit_in_order(at_us.slice(start, end - start).to_numpy(), latest, limit, span)
+            if done:
+                yield told(done)
+        if node is not None:
+            yield told([(node, entry, list(latest))])
+
+    return run
+
+
+def settle_blocks(rows: DataFrame, tie: str, limit: int, span: int) -> tuple[DataFrame, int]:
+    """The true entry state of every block, and in how many rounds it was found.
+
+    All blocks of long episodes run at the same time, as if nothing came before them. Then
+    each block's entry is compared with what the block before it left (of that, what is still
+    inside the window), and those that were entered wrongly run again, until none was. In
+    round ``r`` up to ``2 ** r`` blocks in a row run one after the other in one task, so a key
+    that is over its limit without a pause, where a wrong entry is never forgotten, takes a
+    number of rounds that grows with the logarithm of its blocks; its chain of decisions is
+    sequential by nature, and the last of those rounds walks all of it. Where the limit is not
+    reached for a moment, states agree again and one or two rounds are enough. The result has
+    ``_episode, _chunk, _node, _from, _entry``.
+    """
+    blocks = kept(
+        rows.groupBy("_episode", "_chunk").agg(F.min("_us").alias("_from"))
+        .withColumn("_node", F.monotonically_increasing_id()), "request-blocks")
+    nothing = F.array().cast("array<bigint>")
+    long = blocks.where("_chunk > 0").select("_episode").distinct()
+    entered = blocks.join(long, "_episode").withColumns({"_entry": nothing, "_run": F.col("_chunk")})
+    if entered.isEmpty():
+        return blocks.withColumn("_entry", nothing), 0
+
+    def walked(todo: DataFrame, number: int) -> DataFrame:
+        return kept(
+            _in_blocks(rows, tie, todo).mapInArrow(_exits(limit, span), "_node bigint, _used array<bigint>, _exit array<bigint>"),
+            f"request-states-{number}")
+
+    states = walked(entered, 0)
+    in_order, rounds = Window.partitionBy("_episode").orderBy("_chunk"), 0
+    while True:
+        live = F.filter(F.lag("_exit").over(in_order), lambda t: t > F.col("_from") - span)
+        told = blocks.join(states, "_node").withColumn("_entry", F.coalesce(live, nothing))
+        told = kept(told.withColumn("_wrong", F.col("_entry") != F.col("_used")), f"request-entries-{rounds}")
+        if told.where("_wrong").isEmpty():
+            known = told.select("_node", "_entry")
+            return blocks.join(known, "_node", "left").withColumn("_entry", F.coalesce("_entry", nothing)), rounds
+        rounds += 1
+        run = told.withColumn("_run", F.floor(F.col("_chunk") / F.lit(1 << rounds)))
+        first = F.min(F.when(F.col("_wrong"), F.col("_chunk"))).over(Window.partitionBy("_episode", "_run"))
+        todo = run.withColumn("_first_wrong", first).where("_chunk >= _first_wrong").withColumn(
+            "_entry", F.when(F.col("_chunk") == F.col("_first_wrong"), F.col("_entry")))
+        todo = kept(todo.select("_episode", "_chunk", "_run", "_node", "_from", "_entry"), f"request-turns-{rounds}")
+        again = walked(todo, rounds)
+        states = kept(states.join(again.select("_node"), "_node", "left_anti").unionByName(again), f"request-known-{rounds}")
 
 
 def rate_limit(

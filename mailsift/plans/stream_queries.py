@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailsift import functions as M
+from mailsift.functions.risk import digest_category
 from mailsift.functions.timing import micros
 from mailsift.operators import scoring
 from mailsift.plans import sqltext as S
@@ -17,10 +18,10 @@ from mailsift.plans.registry import Inputs, query
 from mailsift.plans.table_queries import DAY, MAX_RETRIES, RATE_LIMIT_DROP_SQL, RETRY_SQL
 from mailsift.plans.text_queries import _as_question_marks, labelled_path
 from mailsift.session import ROCKSDB_PROVIDER, scratch_path
-from mailsift.sources import mail, records
+from mailsift.sources import archive, mail, records
 from mailsift.sources.batches import BatchTable
 from mailsift.sources.seen import SeenIndex
-from mailsift.streaming import keyed, triage
+from mailsift.streaming import digests, keyed, triage
 
 
 def table_stream(v: Inputs, name: str) -> DataFrame:
@@ -74,6 +75,36 @@ def read_mail_folders(v: Inputs):
     )
 
 
+def _archived(v: Inputs, folder, path: str, batches: int = 2) -> None:
+    """All messages in an archive, in batches, the first of which is written twice."""
+    rows = _raw_files(v, folder).withColumn("received_at", F.lit("2024-01-01").cast("timestamp"))
+    for batch_id in (0, *range(batches)):
+        archive.write_archive(rows.where(F.col("doc_id") % batches == batch_id), path, batch_id, block_bytes=1 << 20)
+
+
+@query("mail", "mail_raw", sql=f"""
+SELECT CAST(mailbox AS VARCHAR) AS mailbox, folder, message_id, from_addr,
+  {_as_question_marks("ltrim(subject, ' ' || chr(9))")} AS subject, CAST(octet_length(encode(raw)) AS BIGINT) AS size
+FROM mail_raw""")
+def read_mail_archive(v: Inputs):
+    """Messages written to an archive, read back in even partitions and parsed."""
+    path = scratch_path(v.spark, "archive")
+    _archived(v, F.col("folder"), path)
+    return scoring.parse_messages(archive.read_archive(v.spark, path)).select(
+        "mailbox", "folder", "message_id", "from_addr", "subject", "size"
+    )
+
+
+@query("mail", "mail_raw", sql="""
+SELECT CAST(mailbox AS VARCHAR) AS mailbox, sha256(mailbox || chr(31) || message_id || chr(31) || raw) || '.mail' AS name,
+  CAST(octet_length(encode(raw)) AS BIGINT) AS size FROM mail_raw""")
+def read_archive_stream(v: Inputs):
+    path = scratch_path(v.spark, "archive-stream")
+    _archived(v, F.lit(""), path)
+    staged = archive.read_archive_stream(v.spark, path)
+    return run(v.spark, staged.select("mailbox", "name", F.octet_length("content").cast("bigint").alias("size")), "archived")
+
+
 @query("mail", "mail_raw", sql="""
 SELECT CAST(mailbox AS VARCHAR) AS mailbox, sha256(mailbox || chr(31) || message_id || chr(31) || raw) || '.mail' AS name,
   CAST(octet_length(encode(raw)) AS BIGINT) AS size FROM mail_raw""")
@@ -274,3 +305,57 @@ def digest_window(v: Inputs):
         "mailbox", "folder_label", micros(F.col("digest_from")).alias("from_us"),
         micros(F.col("digest_to")).alias("to_us"), "messages",
     )
+
+
+_CLOSED_DAYS = """m AS (SELECT *, date_trunc('day', received_at - INTERVAL 14 HOUR) + INTERVAL 8 HOUR AS digest_from FROM mail),
+closed AS (SELECT *, row_number() OVER (PARTITION BY {group}, digest_from ORDER BY received_at DESC, message_id) AS rn
+  FROM ({source}) WHERE digest_from + INTERVAL 24 HOUR <= (SELECT max(received_at) - INTERVAL 7 HOUR FROM ({source})))"""
+
+
+def _mail_stream(v: Inputs) -> DataFrame:
+    """Messages as documents arrive, with the columns that digests read."""
+    rows = view(v.spark, v.sf_dir, "mail", documents=table_stream(v, "documents"))
+    label = M.folder_label(labelled_path())
+    return rows.select(
+        "mailbox", F.col("received_at").cast("timestamp").alias("received_at"), F.col("message_id").alias("message_key"),
+        "from_addr", "subject", M.plain_preview(F.col("body")).alias("body_preview"), label.alias("folder_label"),
+        digest_category(label, {c: F.col(c) for c in ("from_addr", "subject")}).alias("category"),
+        M.parse_verdict(F.col("reply"))["reason"].alias("reason"),
+    )
+
+
+def _days(v: Inputs, stream: DataFrame, label: str) -> DataFrame:
+    days = run(v.spark, stream, label)
+    return days.withColumn("from_us", micros(F.col("digest_from"))).drop("digest_from", "digest_to")
+
+
+@query("mail", sql=f"""
+WITH {_CLOSED_DAYS.format(group="mailbox", source="SELECT * FROM m")}
+SELECT mailbox, epoch_us(digest_from) AS from_us, count(*) AS messages, least(count(*), 50) AS items, string_agg(
+  'FROM: ' || {S.prompt('from_addr', 100)} || chr(10) || 'SUBJECT: ' || {S.prompt('subject', 100)} || chr(10)
+  || 'PREVIEW: ' || {S.prompt(S.preview('body'), 200)} || chr(10), chr(10) || '---' || chr(10)
+  ORDER BY rn) FILTER (rn <= 50) AS digest FROM closed GROUP BY mailbox, digest_from""")
+def mail_digest_stream(v: Inputs):
+    """Digests of all closed days out of the message stream (US/Central is UTC-6 on all days of the data)."""
+    return _days(v, digests.mail_digest_stream(_mail_stream(v)), "digest-days")
+
+
+@query("mail", sql=f"""
+WITH {_CLOSED_DAYS.format(group="mailbox, category, sender_domain", source=f"SELECT *, {S.CATEGORY} AS category, {S.domain('from_addr')} AS sender_domain FROM m")}
+SELECT mailbox, category, sender_domain, epoch_us(digest_from) AS from_us, count(*) AS messages,
+  string_agg({S.prompt('subject', 100)}, '; ' ORDER BY rn) FILTER (rn <= 3) AS items
+FROM closed GROUP BY mailbox, category, sender_domain, digest_from""")
+def category_rollup_stream(v: Inputs):
+    rows = _days(v, digests.category_rollup_stream(_mail_stream(v), max_items=3), "category-days")
+    return rows.withColumn("items", F.array_join("items", "; "))
+
+
+@query("mail", sql=f"""
+WITH {_CLOSED_DAYS.format(group="mailbox", source="SELECT * FROM m WHERE folder = '.Quarantine/cur'")}
+SELECT mailbox, epoch_us(digest_from) AS from_us, count(*) AS messages, string_agg(
+  concat_ws(' | ', {S.prompt('subject', 100)}, {S.prompt('from_addr', 100)}, {S.reason_of('reply')}), '; ' ORDER BY rn) FILTER (rn <= 3) AS items
+FROM closed GROUP BY mailbox, digest_from""")
+def quarantine_summary_stream(v: Inputs):
+    blocked = _mail_stream(v).where("folder_label = 'QUARANTINE'")
+    rows = _days(v, digests.quarantine_summary_stream(blocked, max_items=3), "quarantine-days")
+    return rows.withColumn("items", F.array_join("items", "; "))

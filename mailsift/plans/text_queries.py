@@ -337,6 +337,26 @@ def lookalike_domains(v: Inputs):
     return pairs.withColumn("distance", F.col("distance").cast("bigint"))
 
 
+_FIRST_WORDS = "^([a-z]+) ([a-z]+) "
+
+
+@query(sql=f"""
+WITH w AS (SELECT regexp_extract(lower(text), '{_FIRST_WORDS}', 1) AS a, regexp_extract(lower(text), '{_FIRST_WORDS}', 2) AS b
+  FROM documents WHERE regexp_matches(lower(text), '{_FIRST_WORDS}')),
+d AS (SELECT DISTINCT a || '-shop.example.com' AS domain FROM w),
+l AS (SELECT domain, unnest(regexp_split_to_array(domain, '[.-]')) AS label FROM d),
+b AS (SELECT DISTINCT b AS brand FROM w)
+SELECT DISTINCT domain, label, brand, levenshtein(label, brand) AS distance
+FROM l JOIN b ON label <> brand AND levenshtein(label, brand) <= 2""")
+def lookalike_of_a_brand_table(v: Inputs):
+    """Domains and brands out of the documents' first two words, up to two edits apart."""
+    words = v.documents.select(F.lower("text").alias("text")).where(F.col("text").rlike(_FIRST_WORDS))
+    domains = words.select(F.concat(F.regexp_extract("text", _FIRST_WORDS, 1), F.lit("-shop.example.com")).alias("domain"))
+    brands = words.select(F.regexp_extract("text", _FIRST_WORDS, 2).alias("brand"))
+    pairs = joins.lookalike_domains(domains, brands, max_distance=2)
+    return pairs.withColumn("distance", F.col("distance").cast("bigint"))
+
+
 @query("mail", sql=f"""
 SELECT doc_id, CASE WHEN from_addr LIKE '%micros0ft%' OR from_addr LIKE '%amaz0n%' THEN 'QUARANTINE' ELSE 'SAFE' END AS verdict,
   CASE WHEN from_addr LIKE '%micros0ft%' THEN 'Typosquatting domain micros0ft'

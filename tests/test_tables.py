@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from mailsift.functions import risk
@@ -232,3 +233,36 @@ def test_retry_first_and_malformed(spark):
     assert [(r["id"], r["priority"]) for r in filters.retry_first(a, b).orderBy("priority").collect()] == [(1, 0), (2, 1)]
     out = {r["id"]: (r["disposition"], r["reason"]) for r in filters.split_malformed(filters.folder_union(a, b)).collect()}
     assert out == {1: (None, None), 2: ("failed", "Parse error: bad")}
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 3])
+def test_lookalikes_equal_all_pairs(spark, k):
+    """Also brands and words shorter than the distance, and candidates stay near the pairs found."""
+    draw = random.Random(k)
+    word = lambda n: "".join(draw.choice("abc") for _ in range(n))
+    brands = {word(draw.randrange(0, 9)) for _ in range(80)} | {"", "a", "ab", "abc"}
+    words = {word(draw.randrange(1, 10)) for _ in range(150)} | {"a", "b", "ab", "cab"}
+    table = spark.createDataFrame([(b,) for b in brands] + [("ab",), (None,)], "brand string")
+    domains = spark.createDataFrame([(f"{w}.x",) for w in words] * 2, "domain string")
+    found = joins.lookalike_domains(domains, table, k)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {(w, b, distance(w, b)) for w in words | {"x"} for b in brands if w != b and distance(w, b) <= k}
+    assert {(r["label"], r["brand"], r["distance"]) for r in found.select("label", "brand", "distance").distinct().collect()} == want
+
+
+def test_lookalike_candidates_are_few(spark):
+    draw = random.Random(1)
+    names = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(6, 14))) for _ in range(3000)]
+    brands = spark.createDataFrame([(n,) for n in names], "brand string")
+    words = spark.createDataFrame([(n[:-1] + "q",) for n in names], "_plain string")
+    pairs = joins.word_signatures(words, 2).join(joins.brand_signatures(brands, 2), "_of").select("_plain", "brand").distinct()
+    assert pairs.count() < 0.02 * 3000 * 3000
+    assert joins.word_signatures(words, 2).count() < 75 * 3000

@@ -171,6 +171,42 @@ def test_drop_mode(busy, limit, seconds, block):
         assert [got[r[1]] for r in group] == want
 
 
+def test_a_saturated_key_over_many_blocks(spark):
+    """A key that is over its limit all the time: rounds grow with the logarithm of its blocks."""
+    rng, at, rows = random.Random(5), 0, []
+    for i in range(6400):
+        at += rng.randrange(US // 5)
+        rows.append(("hot", i, T0 + dt.timedelta(microseconds=at)))
+    rows += [(f"k{i % 50}", 7000 + i, T0 + dt.timedelta(seconds=rng.randrange(600))) for i in range(500)]
+    df = spark.createDataFrame(rows, "key string, id bigint, ts timestamp_ntz")
+    got = {r["id"]: r["admitted"] for r in windows.drop_requests(df, limit=7, seconds=10, rows_per_block=200).collect()}
+    for group in by_key(rows):
+        want = slow_drop([r[2] for r in group], 7, dt.timedelta(seconds=10))
+        assert [got[r[1]] for r in group] == want
+    us = windows.micros(F.col("ts"))
+    hot = df.where("key = 'hot'").withColumn("pos", F.col("id"))
+    placed = hot.select(F.struct("key").alias("_episode"), F.floor(F.col("pos") / 200).alias("_chunk"), us.alias("_us"), "id")
+    entries, rounds = windows.settle_blocks(placed, "id", 7, 10 * US)
+    assert entries.count() == 32 and 1 <= rounds <= 7
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = windows._in_blocks(placed, "id", entries.withColumn("_run", F.col("_chunk")))
+        assert dealt.groupBy(F.spark_partition_id()).count().count() >= 6  # the blocks of the one key run in many tasks
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_states_agree_again_after_a_pause(spark):
+    """Pauses inside the window's length forget wrong entries, so few rounds are needed."""
+    rows = [("e", c, (c * 400 + i) * US // 4 + c * 30 * US, c * 400 + i) for c in range(24) for i in range(400)]
+    placed = spark.createDataFrame(rows, "_episode string, _chunk bigint, _us bigint, id bigint")
+    entries, rounds = windows.settle_blocks(placed, "id", 5, 20 * US)
+    assert rounds == 0 and entries.where(F.size("_entry") > 0).count() == 0
+    entries, rounds = windows.settle_blocks(placed, "id", 5, 45 * US)
+    assert rounds >= 1 and entries.where(F.size("_entry") > 0).count() > 0
+    assert windows.settle_blocks(placed.where("_chunk = 0"), "id", 5, US)[1] == 0
+
+
 @pytest.mark.parametrize("limit,seconds,block", [(1, 5, 7), (4, 10, 60), (30, 60, 3600)])
 def test_delay_mode(busy, limit, seconds, block):
     rows, df = busy
