@@ -22,7 +22,19 @@ MOST_PAGES = 16_384
 U64 = np.uint64
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let Arrow batches hold ``most`` bytes at most, unless the session has set fewer.
+
+    Every task holds some batches on either side of its Python worker; with long texts the
+    default of 64 MiB adds up to more than the work needs.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > most:
+        spark.conf.set(name, f"{most}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
