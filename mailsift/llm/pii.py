@@ -3,11 +3,18 @@
 The base patterns find addresses, network addresses, card and phone numbers. The field then labels
 all tokens that hold a digit or an ``@`` (nothing else can be one of the kinds). Its potentials are
 
-* of a token: a log-linear score of hashed features (shape, lengths, neighbours), learned from the
-  base spans of a bounded sample of documents; tokens in base spans are clamped to their kind;
-* of neighbours in the chain: learned transition scores;
-* of the skip chain: a reward for equal labels between each token and the next one, at any
-  distance, that repeats it or is similar (the same letters and digits, case and punctuation aside).
+* of a token: a log-linear score of hashed features (shape, lengths, neighbours); tokens in base
+  spans are clamped to their kind;
+* of neighbours in the chain: transition scores;
+* of the skip chain: a score per label for equal labels between each token and the next one, at any
+  distance, that repeats it (the same letters and digits, case and punctuation aside) or is similar:
+  it has the same characters but for one, which both show when that one is left out.
+
+All weights are fitted together on the base spans of a bounded sample of documents, by gradient
+steps on the pseudo-likelihood: the probability of each token's label given its features and the
+labels of its neighbours in both chains. A token that no pattern matches is known to be none of the
+kinds unless it repeats one that is; such tokens are left out. In every second term the features
+are left out, so that what the neighbours tell is learned although features tell as much.
 
 Loopy message passing over all documents of an Arrow slice at once gives marginals, so that an
 entity which is written elsewhere in a form that no pattern matches gets the same label. Added spans
@@ -19,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +35,25 @@ from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-SAMPLE_ROWS = 2000  # bound of the training sample
+SAMPLE_ROWS = 2000  # bound of the training sample, documents
+SAMPLE_TOKENS = 200  # and tokens of each
 BINS = 1024
-AGREE = 4.0  # reward of equal labels on a skip edge
+FEATURES = 6
+PENALTY = 1e-3
+STEPS = 150
+SIMILAR_CHARS = 40  # longer tokens are only looked for as they are
 CLAMP = 30.0
 ROUNDS = 8
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DOTTED = re.compile(r"[0-9.]+")
 _ANY = re.compile(r"[0-9@]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGITS = re.compile(r"[0-9]")
 _SQUEEZE = re.compile(r"(.)\1+")
 _CORE = re.compile(r"[^0-9a-z]+")
@@ -61,6 +74,26 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches of the network address pattern, part by part through runs of digits and dots."""
+    out = []
+    for run in _DOTTED.finditer(text):
+        if run[0].count(".") < 3:
+            continue
+        parts, starts, at = run[0].split("."), [], run.start()
+        for part in parts:
+            starts.append(at)
+            at += len(part) + 1
+        i = 0
+        while i + 3 < len(parts):
+            if all(parts[i : i + 4]):
+                out.append((starts[i], starts[i + 3] + len(parts[i + 3])))
+                i += 4
+            else:
+                i += 1
+    return out
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -74,9 +107,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if not _ANY.search(text):
         return []
     out = [(0, a, b) for a, b in emails(text)] if "@" in text else []
-    for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
-            out.append((1, m.start(), m.end()))
+    for a, b in addresses(text):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in text[a:b].split(".")):
+            out.append((1, a, b))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -106,6 +139,13 @@ def token_features(token: str, before: str) -> list[int]:
     ]
 
 
+def similar_forms(core: str) -> list[str]:
+    """What a token shares with those that differ from it in one character: itself with one left out."""
+    if not 6 <= len(core) <= SIMILAR_CHARS:
+        return []
+    return [f"{i}:{core[:i]}{core[i + 1:]}" for i in range(len(core))]
+
+
 def ruled_out(core: str) -> bool:
     """A whole network address or card number that failed its check is known to be none."""
     return bool(_IP.fullmatch(core) or len(core) >= 13 and _CARD.fullmatch(core))
@@ -124,8 +164,11 @@ class Graph:
     def add(self, at: int, text: str, base: list[tuple[int, int, int]]) -> None:
         spans = sorted((a, b, k + 1) for k, a, b in base)
         last_of: dict[str, int] = {}
+        last_like: dict[str, int] = {}
         previous_end, i = -2, 0
         for m in _TOKEN.finditer(text):
+            if not _ANY.search(m[0]):
+                continue
             a, b = m.span()
             while i < len(spans) and spans[i][1] <= a:
                 i += 1
@@ -146,15 +189,28 @@ class Graph:
             previous_end = b
             core = _CORE.sub("", m[0].lower())
             if len(core) >= 3:
-                if core in last_of:
-                    self.skip.append((last_of[core], node))
+                like = {last_of[core]} if core in last_of else set()
+                if not like:  # a repetition is linked with what it repeats, and that with what is similar
+                    forms = similar_forms(core)
+                    like = {last_like[f] for f in forms if f in last_like}
+                    for f in forms:
+                        last_like[f] = node
+                self.skip += [(other, node) for other in sorted(like)]
                 last_of[core] = node
 
 
-def marginals(graph: Graph, weights: np.ndarray, moves: np.ndarray) -> np.ndarray:
+class Weights(NamedTuple):
+    """``token`` (labels x feature bins and a bias), ``move`` (label to next label), ``same`` (per label)."""
+
+    token: np.ndarray
+    move: np.ndarray
+    same: np.ndarray
+
+
+def marginals(graph: Graph, weights: Weights) -> np.ndarray:
     """Label probabilities of each node by loopy belief propagation."""
-    n, k = len(graph.place), len(LABELS)
-    unary = weights[:, np.array(graph.features)].sum(axis=2).T + weights[:, BINS]
+    k = len(LABELS)
+    unary = weights.token[:, np.array(graph.features)].sum(axis=2).T + weights.token[:, BINS]
     label = np.array(graph.label)
     fixed = np.flatnonzero(label)
     unary[fixed, np.maximum(label[fixed], 0)] += CLAMP
@@ -163,8 +219,8 @@ def marginals(graph: Graph, weights: np.ndarray, moves: np.ndarray) -> np.ndarra
         p = np.exp(unary - unary.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
     pair = np.zeros((len(edges), k, k))
-    pair[: len(graph.chain)] = moves
-    pair[len(graph.chain) :] = AGREE * np.eye(k)
+    pair[: len(graph.chain)] = weights.move
+    pair[len(graph.chain) :] = np.diag(weights.same)
     source = np.concatenate([edges[:, 0], edges[:, 1]])
     target = np.concatenate([edges[:, 1], edges[:, 0]])
     both = np.concatenate([pair, pair.transpose(0, 2, 1)])
@@ -197,42 +253,91 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield first, held
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (label, feature bin) and of (label, next label) in base-labelled texts."""
-    found = np.zeros((len(LABELS), BINS + 1), np.int64)
-    moves = np.zeros((len(LABELS), len(LABELS)), np.int64)
+def _graph_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to the features, labels and edges of their first SAMPLE_TOKENS candidates."""
+    kinds = (pa.list_(pa.int64()),) * 4
     for batch in batches:
         for _, texts in _slices(batch.column(0)):
-            graph = Graph()
-            for i, text in enumerate(texts):
-                graph.add(i, text, base_spans(text))
-            if graph.place:
-                label = np.maximum(graph.label, 0)
-                np.add.at(found, (label[:, None], np.array(graph.features)), 1)
-                np.add.at(found, (label, BINS), 1)
-                for a, b in graph.chain:
-                    moves[label[a], label[b]] += 1
-    rows = [(0, a, b, int(found[a, b])) for a, b in zip(*np.nonzero(found))]
-    rows += [(1, a, b, int(moves[a, b])) for a, b in zip(*np.nonzero(moves))]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in rows], pa.int64()) for i in range(4)],
-                                         names=["what", "a", "b", "n"])
-
-
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Token and transition scores (logarithms of smoothed shares), from at most ``rows`` documents with digits or ``@``."""
-    drawn = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", F.lit(3)).alias("draw")).orderBy("draw").limit(rows)
-    texts = docs.withColumn("draw", F.xxhash64("doc_id", F.lit(3))).join(F.broadcast(drawn.distinct()), "draw", "left_semi").select("text")
-    counts = texts.mapInArrow(_count_batches, "what long, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
-    k = len(LABELS)
-    found, moves = np.zeros((k, BINS + 1)), np.ones((k, k))
-    for r in counts.collect():
-        (found if r["what"] == 0 else moves)[r["a"], r["b"]] += r["n"]
-    total = found[:, BINS : BINS + 1]
-    weights = np.log((found + 0.1) / (total + 0.1 * BINS))
-    weights[:, BINS] = np.log((total[:, 0] + 1) / (total.sum() + k))
-    weights[:, BINS] -= weights[:, BINS].max()
-    return weights, np.log(moves / moves.sum(axis=1, keepdims=True) * k)
+            rows = []
+            for text in texts:
+                graph = Graph()
+                graph.add(0, text, base_spans(text))
+                n = min(len(graph.place), SAMPLE_TOKENS)
+                if n:
+                    inside = [[i for e in edges if max(e) < n for i in e] for edges in (graph.chain, graph.skip)]
+                    rows.append(([f for own in graph.features[:n] for f in own], [max(x, 0) for x in graph.label[:n]], *inside))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=["features", "labels", "chain", "skip"])
+
+
+def fit_weights(features: np.ndarray, labels: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = STEPS) -> Weights:
+    """Weights with the greatest penalised pseudo-likelihood, by Adam steps from zero.
+
+    ``features`` (n x FEATURES) are bins, ``chain`` and ``skip`` (m x 2) are edges between tokens.
+    The score of a skip edge is one for all labels and a part of each label's own.
+    """
+    k, n = len(LABELS), len(labels)
+    token, move, own, shared = np.zeros((k, BINS + 1)), np.zeros((k, k)), np.zeros(k), np.zeros(1)
+    repeats = np.zeros(n, bool)
+    for a, b in ((0, 1), (1, 0)):
+        repeats[skip[labels[skip[:, b]] > 0, a]] = True
+    known = ~(repeats & (labels == 0))
+    if not known.any():
+        return Weights(token, move, own)
+    truth = np.eye(k)[labels] * known[:, None]
+    # Rare labels weigh more, up to a point: most tokens are none of the kinds.
+    share = np.bincount(labels[known], minlength=k) / known.sum()
+    weight = (1 / np.maximum(share, 0.02))[labels] * known
+    weight /= weight.sum()
+    shown = np.random.default_rng(1).random((2, n, 1)) < 0.5
+    neighbours = np.zeros((n, k))  # skip neighbours of each label
+    np.add.at(neighbours, skip[:, 0], truth[skip[:, 1]])
+    np.add.at(neighbours, skip[:, 1], truth[skip[:, 0]])
+    before, after = np.zeros((n, k)), np.zeros((n, k))
+    np.add.at(after, chain[:, 0], truth[chain[:, 1]])
+    np.add.at(before, chain[:, 1], truth[chain[:, 0]])
+    moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (token, move, own, shared)]
+    for t in range(1, steps + 1):
+        seen = shown[t % 2]
+        score = token[:, features].sum(axis=2).T * seen + token[:, BINS] + before @ move + after @ move.T + neighbours * (own + shared)
+        p = np.exp(score - score.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        off = (p - truth) * weight[:, None]
+        d_token = np.zeros((BINS + 1, k))
+        for j in range(features.shape[1]):
+            np.add.at(d_token, features[:, j], off * seen)
+        d_token[BINS] = off.sum(axis=0)
+        pull = (neighbours * off).sum(axis=0)
+        gradients = (d_token.T, before.T @ off + (after.T @ off).T, pull, pull.sum(keepdims=True))
+        for x, g, (m, v) in zip((token, move, own, shared), gradients, moments):
+            g = g + PENALTY * x
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            x -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return Weights(token, move, own + shared)
+
+
+def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Weights:
+    """Weights from at most ``rows`` documents with digits or ``@``, and SAMPLE_TOKENS tokens of each.
+
+    Documents are drawn by a hash of their id; of rows that repeat an id, one graph is taken.
+    """
+    draw = F.xxhash64("doc_id", F.lit(3))
+    some = docs.where(F.col("text").rlike("[0-9@]"))
+    drawn = some.select(draw.alias("draw")).distinct().orderBy("draw").limit(rows)
+    texts = some.select("text", draw.alias("draw")).join(F.broadcast(drawn), "draw").groupBy("draw").agg(F.min("text").alias("text"))
+    found = texts.select("text").mapInArrow(
+        _graph_batches, "features array<long>, labels array<long>, chain array<long>, skip array<long>").collect()
+    found = sorted(found, key=lambda r: (r["features"], r["labels"]))
+    shift, chain, skip = 0, [], []
+    for r in found:
+        chain += [i + shift for i in r["chain"]]
+        skip += [i + shift for i in r["skip"]]
+        shift += len(r["labels"])
+    edges = [np.array(e, np.int64).reshape(-1, 2) for e in (chain, skip)]
+    features = np.array([f for r in found for f in r["features"]], np.int64).reshape(-1, FEATURES)
+    return fit_weights(features, np.array([y for r in found for y in r["labels"]], np.int64), *edges)
 
 
 def added_spans(graph: Graph, p: np.ndarray, texts: list[str], least: float) -> dict[int, list[tuple[int, int, int]]]:
@@ -253,7 +358,7 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
-def find_batches(weights: np.ndarray, moves: np.ndarray, least: float):
+def find_batches(weights: Weights, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in _slices(batch.column(1)):
@@ -263,7 +368,7 @@ def find_batches(weights: np.ndarray, moves: np.ndarray, least: float):
                     base.append(own)
                     if _ANY.search(text):
                         graph.add(i, text, own)
-                more = added_spans(graph, marginals(graph, weights, moves), texts, least) if graph.place else {}
+                more = added_spans(graph, marginals(graph, weights), texts, least) if graph.place else {}
                 counts = [[sum(k == kind for k, _, _ in own) for own in base] for kind in range(len(KINDS))]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, len(texts)), *[pa.array(c, pa.int64()) for c in counts],
@@ -283,6 +388,6 @@ def find_personal_data(docs: DataFrame, least: float = 0.9) -> DataFrame:
     of at least ``least``. Null text is empty and has none. Without any text to learn from the scores
     are even, and nothing is added.
     """
-    weights, moves = fit(docs)
+    weights = fit(docs)
     schema = "doc_id long, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string, n_added long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(find_batches(weights, moves, least), schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(find_batches(weights, least), schema)

@@ -117,8 +117,8 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 cuts = np.searchsorted(row, np.arange(last - first + 1))
                 packed.append([bin_[cuts[i] : cuts[i + 1]].astype(np.uint16).tobytes() for i in range(last - first)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, last - first), *[pa.array(p, pa.binary()) for p in packed]],
-                names=["label", "chars", "words"])
+                [*[batch.column(i).slice(first, last - first) for i in (0, 2)], *[pa.array(p, pa.binary()) for p in packed]],
+                names=["label", "doc_id", "chars", "words"])
 
 
 def fit(sample: list[tuple[int, bytes, bytes]], rounds: int = 60, penalty: float = 1e-4) -> tuple[np.ndarray, float, float, float]:
@@ -164,15 +164,19 @@ def fit(sample: list[tuple[int, bytes, bytes]], rounds: int = 60, penalty: float
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[int, bytes, bytes]]:
-    """Features of at most ``rows`` labelled texts, drawn by a hash of the id."""
+    """Features of at most ``rows`` labelled texts, drawn by a hash of the id.
+
+    One text is kept of each drawn id, however many rows repeat it: the one of the smallest features.
+    """
     drawn = (
         labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
         .withColumn("draw", F.xxhash64("doc_id", F.lit(7))).orderBy("draw", "doc_id").limit(rows)
     )
     texts = docs.join(F.broadcast(drawn.select("doc_id", F.col("label").cast("int").alias("label"))), "doc_id")
-    found = texts.where("text is not null").select("label", "text").mapInArrow(
-        _feature_batches, "label int, chars binary, words binary")
-    return [(r["label"], bytes(r["chars"]), bytes(r["words"])) for r in found.collect()]
+    found = texts.where("text is not null").select("label", "text", F.col("doc_id").cast("long")).mapInArrow(
+        _feature_batches, "label int, doc_id long, chars binary, words binary")
+    one = found.groupBy("doc_id", "label").agg(F.min(F.struct("chars", "words")).alias("x"))
+    return [(r["label"], bytes(r["x"]["chars"]), bytes(r["x"]["words"])) for r in one.collect()]
 
 
 def score_batches(model: tuple[np.ndarray, float, float, float], least: float):

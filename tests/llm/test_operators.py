@@ -6,6 +6,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,6 +277,118 @@ def test_base_spans():
     assert pii.base_spans("") == []
 
 
+PATTERNS = (
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda t: True),
+    (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda t: all(int(p) <= 255 for p in t.split("."))),
+    (r"[0-9]([\x20-]?[0-9])+", lambda t: 13 <= len(re.sub("[^0-9]", "", t)) <= 19 and plain_luhn(re.sub("[^0-9]", "", t))),
+    (r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: 9 <= len(re.sub("[^0-9]", "", t)) <= 15),
+)
+
+
+def plain_luhn(digits):
+    doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+    return sum(d // 10 + d % 10 for d in doubled) % 10 == 0
+
+
+def test_base_spans_equal_the_patterns():
+    draw = random.Random(9)
+    pieces = ["1", "23", "255", "256", ".", "..", "@", "a", "b.c", "-", " ", "+", "+4", "(", ")", "4111 1111 1111 1111", "x@y.z", "1.2.3.4", "é", "\n", "0", "000"]
+    for _ in range(20_000):
+        text = "".join(draw.choice(pieces) for _ in range(draw.randrange(1, 14)))
+        want = [(k, m.start(), m.end()) for k, (pattern, fits) in enumerate(PATTERNS) for m in re.finditer(pattern, text) if fits(m[0])]
+        assert pii.base_spans(text) == want, repr(text)
+
+
+def test_long_runs_take_linear_time():
+    for text in ("7" * 1_000_000, "a" * 1_000_000, "1." * 500_000, "a@" * 300_000, "+1" * 300_000, "+1" + "(" * 500_000, "a1" * 500_000, "1.2.3.x" * 100_000):
+        began = time.perf_counter()
+        graph = pii.Graph()
+        graph.add(0, text, pii.base_spans(text))
+        assert time.perf_counter() - began < 5, text[:10]
+
+
+def enumerated(graph, weights):
+    n, k = len(graph.place), len(pii.LABELS)
+    total = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        score = 0.0
+        for i, y in enumerate(labels):
+            score += weights.token[y, graph.features[i]].sum() + weights.token[y, pii.BINS]
+            fixed = graph.label[i]
+            score += pii.CLAMP * (fixed != 0 and y == max(fixed, 0))
+        score += sum(weights.move[labels[a], labels[b]] for a, b in graph.chain)
+        score += sum(weights.same[labels[a]] * (labels[a] == labels[b]) for a, b in graph.skip)
+        for i, y in enumerate(labels):
+            total[i, y] += np.exp(score)
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_marginals_equal_enumeration(monkeypatch):
+    draw = np.random.default_rng(4)
+    monkeypatch.setattr(pii, "ROUNDS", 60)
+    for edges, loose in (([(0, 1), (1, 2), (2, 3)], 1e-6), ([(0, 1), (0, 2), (0, 3)], 1e-6), ([(0, 1), (1, 2), (2, 0)], 0.08)):
+        for _ in range(5):
+            graph = pii.Graph()
+            graph.place, graph.label = [(0, i, i + 1) for i in range(4)], [0, int(draw.integers(-1, 5)), 0, 0]
+            graph.features = draw.integers(0, pii.BINS, (4, pii.FEATURES)).tolist()
+            split = int(draw.integers(0, len(edges) + 1))
+            graph.chain, graph.skip = edges[:split], edges[split:]
+            weights = pii.Weights(draw.normal(size=(5, pii.BINS + 1)) * 0.3, draw.normal(size=(5, 5)) * 0.5, draw.normal(size=5) * 0.5)
+            assert np.abs(pii.marginals(graph, weights) - enumerated(graph, weights)).max() < loose
+
+
+def test_the_field_is_trained(monkeypatch):
+    """Skip weights are learned: tokens without telling features take the label of what they repeat."""
+    draw = np.random.default_rng(2)
+    n = 400
+    labels = np.repeat(draw.integers(0, 5, n // 2), 2)
+    features = np.where(np.arange(n)[:, None] % 2 == 0, labels[:, None] + 10, 99) * np.ones((1, pii.FEATURES), int)
+    skip = np.arange(n).reshape(-1, 2)
+    chain = np.zeros((0, 2), np.int64)
+    weights = pii.fit_weights(features, labels, chain, skip)
+    assert (weights.same > 0.5).all()
+    graph = pii.Graph()
+    graph.place, graph.label = [(0, i, i + 1) for i in range(n)], [0] * n
+    graph.features, graph.skip = features.tolist(), skip.tolist()
+    assert (pii.marginals(graph, weights).argmax(axis=1) == labels).mean() > 0.95
+
+
+def test_similar_tokens_are_linked():
+    graph = pii.Graph()
+    graph.add(0, "call 555-0199-77 or 555.0199.77 or 555-0198-77, not 12 and not word9x word8x", [])
+    linked = {tuple(graph.place[i][1] for i in e) for e in graph.skip}
+    text = "call 555-0199-77 or 555.0199.77 or 555-0198-77, not 12 and not word9x word8x"
+    assert (text.index("555-0199"), text.index("555.")) in linked and (text.index("555-0199"), text.index("555-0198")) in linked
+    assert (text.index("word9x"), text.index("word8x")) in linked
+
+
+def test_planted_repeats_are_found(spark):
+    """Card and phone numbers that come again in a form no pattern matches; texts without any stay so."""
+    draw = random.Random(3)
+    texts, want = [], {}
+    for i in range(400):
+        words = [f"word{draw.randrange(300)}x" if draw.random() < 0.03 else draw.choice(["la", "de", "the", "und"]) for _ in range(60)]
+        if i % 2:
+            number = "+49" + "".join(str(draw.randrange(10)) for _ in range(9))
+            words[5], again = number, f"{number[1:3]}/{number[3:6]}/{number[6:]}"
+            if i % 8 == 1:  # some come again as they are
+                words[20] = number
+            words[40] = again
+            want[i] = again
+        texts.append(" ".join(words))
+    docs = docs_of(spark, texts)
+    found = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    caught = 0
+    for i, text in enumerate(texts):
+        added = [x for x in found[i].spans.split(",") if x]
+        if i in want:
+            a = text.index(want[i])
+            caught += f"phone:{a}:{a + len(want[i])}" in added
+        else:
+            assert not added
+    assert caught >= 0.9 * len(want)
+
+
 def test_added_spans_keep_the_base(spark, awkward, nothing):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
@@ -285,7 +398,9 @@ def test_added_spans_keep_the_base(spark, awkward, nothing):
         spans = [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in pii.base_spans(texts[r.doc_id])]
         assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
         assert set(spans) <= set(r.spans.split(",")) | {""}
-    assert pii.find_personal_data(awkward).count() == 11
+    rows = pii.find_personal_data(awkward).collect()
+    assert len(rows) == 11 and {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in rows}[9] == (1, 1, 0, 0)
+    assert all(r.spans == "" and r.n_email == r.n_ip == r.n_card == r.n_phone == 0 for r in rows if r.doc_id in (1, 2, 3, 4, 5))
     assert pii.find_personal_data(nothing).count() == 0
 
 
@@ -323,6 +438,15 @@ def test_quality_counts_and_verdicts(spark, awkward, nothing):
     assert quality.quality_verdicts(nothing, labels).count() == 0
 
 
+def test_quality_sample_has_one_text_of_an_id(spark):
+    docs = spark.range(20_000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"))
+    docs = docs.union(spark.range(100, 400).select("id", F.concat(F.lit("good text "), F.col("id"))))
+    labels = spark.range(0, 400).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality")).union(
+        spark.range(7, 8).select("id", F.lit(0)))
+    sample = quality.labelled_sample(docs, labels, rows=400)
+    assert len(sample) == 301 and len(quality.labelled_sample(docs, labels, rows=50)) <= 50
+
+
 def test_every_language_is_learned(spark):
     """300 languages of which some have a handful of texts, and one id that very many rows repeat."""
     draw = random.Random(4)
