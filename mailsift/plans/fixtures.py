@@ -1,7 +1,8 @@
 """Views that give every operator an input derived from the given tables.
 
 Each view is one SQL text that Spark and the SQL check both run, so both sides start from the
-same rows. Braces name the tables a view reads. Every view covers all rows of its tables.
+same rows. Braces name the tables a view reads. Views of one table cover all its rows; ``mail`` has a
+message for every document, and so the events of the same numbers, and other joins pair what matches.
 """
 
 from __future__ import annotations

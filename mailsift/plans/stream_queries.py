@@ -151,6 +151,29 @@ def triage_stream(v: Inputs):
     )
 
 
+@query("mail", sql="""
+SELECT CAST(mailbox AS VARCHAR) AS mailbox, message_id IS NOT NULL AS keyed,
+  CASE WHEN from_addr LIKE '%micros0ft%' OR from_addr LIKE '%amaz0n%' THEN 'QUARANTINE' ELSE 'SAFE' END AS verdict,
+  CASE WHEN from_addr LIKE '%micros0ft%' THEN 'Typosquatting domain micros0ft'
+    WHEN from_addr LIKE '%amaz0n%' THEN 'Typosquatting domain amaz0n' ELSE 'No known look-alike' END AS reason,
+  CASE WHEN from_addr LIKE '%micros0ft%' OR from_addr LIKE '%amaz0n%' THEN 'quarantine' ELSE 'delivered' END AS disposition,
+  from_addr FROM mail""")
+def triage_archive(v: Inputs):
+    """The same messages out of an archive: no file per message, no state, and a batch that comes again adds nothing."""
+    path, out = scratch_path(v.spark, "triage-archive"), scratch_path(v.spark, "triage")
+    for batches in (2, 3):
+        _archived(v, F.lit(""), f"{path}-{batches}", batches)
+        staged = archive.read_archive_stream(v.spark, f"{path}-{batches}").select("mailbox", "name", "content")
+        triage.triage_stream(
+            staged, f"{out}/table", f"{out}/checkpoint-{batches}", scoring.rule_scorer,
+            first_batch=batches * 1_000_000,
+        ).start().awaitTermination()
+    return triage.read_dispositions(v.spark, f"{out}/table").select(
+        "mailbox", F.col("message_key").isNotNull().alias("keyed"), "verdict", "reason",
+        "disposition", "from_addr",
+    )
+
+
 @query("mail", sql=f"""
 SELECT doc_id, {S.verdict_of('reply')} AS verdict,
   CASE WHEN {S.verdict_of('reply')} = 'SAFE' THEN 'delivered' ELSE 'quarantine' END AS disposition FROM mail""")
@@ -223,6 +246,18 @@ def ledger(v: Inputs):
     )
 
 
+@query("ledger", sql="""
+SELECT message_key, verdict, reason, epoch_us(scanned_at) AS scanned_us FROM ledger""")
+def replayed_ledger(v: Inputs):
+    """The ledger in two batches, both recorded twice, the first with other verdicts at first."""
+    path, safe = scratch_path(v.spark, "ledger-batches"), F.col("verdict") == "SAFE"
+    other = v.ledger.withColumn("verdict", F.lit("QUARANTINE"))
+    for batch_id, rows in ((0, other), (0, v.ledger.where(safe)), (1, v.ledger.where(~safe)), (1, v.ledger.where(~safe))):
+        records.write_ledger_batch(rows, batch_id, path)
+    rows = records.ledger_batches(v.spark, path).read()
+    return rows.select("message_key", "verdict", "reason", micros(F.col("scanned_at")).alias("scanned_us"))
+
+
 @query(sql="SELECT DISTINCT user_id || '-' || event_type AS message_key FROM events")
 def dedupe_stream(v: Inputs):
     """One message per user and event type out of the whole event stream."""

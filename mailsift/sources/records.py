@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mailsift.functions.clean import sanitize_log
+from mailsift.sources.batches import BatchTable
 
 LEDGER_LINE = "message_key string, verdict string, reason string"
 LEDGER = LEDGER_LINE + ", scanned_at timestamp"
@@ -37,6 +38,17 @@ def append_ledger(df: DataFrame, path: str) -> None:
     ).write.mode("append").parquet(path)
 
 
+def ledger_batches(spark: SparkSession, path: str) -> BatchTable:
+    """The ledger kept batch by batch: a batch that is recorded again replaces itself as a whole."""
+    return BatchTable(spark, path, LEDGER)
+
+
+def write_ledger_batch(df: DataFrame, batch_id: int, path: str) -> None:
+    """Record the messages of one batch; a replay leaves neither copies nor a gap."""
+    rows = df.select("message_key", "verdict", "reason", F.col("scanned_at").cast("timestamp"))
+    ledger_batches(df.sparkSession, path).write(rows, batch_id)
+
+
 def read_ledger_lines(spark: SparkSession, path: str) -> DataFrame:
     """Ledger kept as ``name|verdict|reason`` text lines."""
     return spark.read.csv(path, sep="|", schema=LEDGER_LINE, quote="", escape="")

@@ -13,7 +13,7 @@ STREAMS = {
     "read_mail_folders", "land_messages", "read_staging_stream", "triage_stream", "dedupe_stream",
     "retry_stream", "rate_limit_stream", "staleness_stream", "digest_window", "write_dispositions", "replayed_batch",
     "ledger", "seen_index", "compacted_batches", "staleness_of_known_mailboxes",
-    "read_mail_archive", "read_archive_stream", "mail_digest_stream", "category_rollup_stream", "quarantine_summary_stream",
+    "read_mail_archive", "read_archive_stream", "triage_archive", "replayed_ledger", "mail_digest_stream", "category_rollup_stream", "quarantine_summary_stream",
 }
 PYTHON = {"decode_encoded_words", "parse_messages", "score_messages", "rate_limit_drop"}
 
