@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from mailsift.llm.common import U64, text_slices
 
 BINS = 1 << 16
+STRETCH = 1 << 20  # of bytes that are turned into n-grams at once
 ORDERS = (1, 2, 3, 4)
 PER_LANGUAGE = 400  # bound of the training sample, texts of each language
 SAMPLE_TEXTS = 40_000  # of all languages; with over 10,000 of them, four texts of each
@@ -45,16 +46,19 @@ def presence(data: np.ndarray, offsets: np.ndarray, lower: bool = True, rows: in
         shift = np.repeat(np.arange(last - first) * 2 + 1, sizes)
         text = np.full(int(own[-1] - own[0]) + 2 * (last - first), 32, np.uint8)
         text[np.arange(own[-1] - own[0]) + shift] = low[own[0] : own[-1]]
-        row = np.repeat(np.arange(last - first, dtype=np.int64), sizes + 2)
+        ends = np.cumsum(sizes + 2)
         seen = np.zeros((last - first) * BINS, bool)
-        code = text.astype(np.uint64)
-        gram = np.zeros(len(text), np.uint64)
-        for n in range(1, max(ORDERS) + 1):
-            gram = gram[: len(text) - n + 1] | (code[n - 1 :] << U64(8 * (n - 1)))
-            if n in ORDERS and len(gram):
-                inside = row[: len(gram)] == row[n - 1 :]
-                place = ((gram + U64(n << 40)) * _MULTIPLIER >> U64(48)).astype(np.int64)
-                seen[(row[: len(gram)] * BINS + place)[inside]] = True
+        for start in range(0, len(text), STRETCH):  # n-grams that begin in this stretch
+            code = text[start : start + STRETCH + max(ORDERS) - 1].astype(np.uint64)
+            row = np.searchsorted(ends, np.arange(start, start + len(code)), "right")
+            gram = np.zeros(min(len(code), STRETCH), np.uint64)
+            for n in range(1, max(ORDERS) + 1):
+                gram = gram[: len(code) - n + 1]
+                gram |= code[n - 1 : n - 1 + len(gram)] << U64(8 * (n - 1))
+                if n in ORDERS and len(gram):
+                    inside = row[: len(gram)] == row[n - 1 : n - 1 + len(gram)]
+                    place = ((gram + U64(n << 40)) * _MULTIPLIER >> U64(48)).astype(np.int64)
+                    seen[(row[: len(gram)] * BINS + place)[inside]] = True
         at = np.flatnonzero(seen)
         yield first, last, at // BINS, at % BINS
 

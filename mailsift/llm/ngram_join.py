@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     seats, sieved = _put(own_codes.select(F.explode("codes").alias("code"), "doc", F.size("codes").alias("weight")), "sieved")
     discard(spark, at)
     involved = stored(seats.select("doc").distinct(), "involved")
-    sets = stored(
+    sets, sets_at = _put(
         # Few of them are not involved after all; a set too many is never asked for.
         split_by_bitmap(known, F.col("doc"), involved, F.col("doc"))[1].select("doc", "text")
         .mapInArrow(set_batches(k), SET_SCHEMA), "sets",
@@ -381,6 +381,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             F.coalesce("component_id", "rep").alias("component_id"),
         ), "near-duplicates",
     )
+    for path in (sets_at, sieved):
+        discard(spark, path)
     nameless = own.where("doc is null").mapInArrow(set_batches(k), SET_SCHEMA)
     return found.unionByName(nameless.select(
         F.col("doc").alias(id_col), F.col("n_tokens").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")
