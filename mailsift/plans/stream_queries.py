@@ -139,7 +139,7 @@ def triage_stream(v: Inputs):
     root, out = scratch_path(v.spark, "staging"), scratch_path(v.spark, "triage")
     _landed(v, _raw_files(v, F.lit("")), root)
     for run_no in (1, 2):
-        staged = mail.read_staging_stream(v.spark, root, max_files=700)
+        staged = mail.read_staging_stream(v.spark, root, max_files=4000)
         triage.triage_stream(
             staged, f"{out}/table", f"{out}/checkpoint-{run_no}", scoring.rule_scorer,
             first_batch=run_no * 1_000_000,
