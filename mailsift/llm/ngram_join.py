@@ -85,9 +85,10 @@ def bands_for(size: int, percent: int) -> Iterator[int]:
 
 
 def block_codes(tokens: np.ndarray, band: int, percent: int) -> np.ndarray:
-    """The codes of the first ``d + s`` blocks of sorted ``tokens``, with the band in the low six bits.
+    """The codes of the first ``d + s`` blocks of sorted ``tokens``: 42 bits, and the band in the low six.
 
-    A band in which similar sets are equal gives none: equal sets are one class.
+    A band in which similar sets are equal gives none: equal sets are one class. Codes are the bulk of
+    what is moved, so they are no longer than keeps chance matches rare; one costs a seat, no link.
     """
     m, d, s = band_plan(band, percent)
     if not d:
@@ -100,7 +101,7 @@ def block_codes(tokens: np.ndarray, band: int, percent: int) -> np.ndarray:
     place = np.arange(m, dtype=np.uint64) + U64(band << 32)
     codes = mix(mix(fold + U64(1)) ^ mix(place * U64(0x9E3779B97F4A7C15) + filled.astype(np.uint64)))
     order = np.lexsort((codes, -filled))
-    return (codes[order[: d + s]] & ~U64(63)) | U64(min(band, 63))
+    return (codes[order[: d + s]] >> U64(16) & ~U64(63)) | U64(min(band, 63))
 
 
 def parity_sketch(tokens: np.ndarray) -> np.ndarray:

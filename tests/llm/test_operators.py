@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mailsift.llm import (
     chat, exact_dedup, html_extract, langid, licenses, mixing, ngram_join, packing, pii, quality, queries,
 )
+from mailsift.llm.common import split_by_bitmap
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_tokens long, row long, at string"
@@ -123,6 +124,16 @@ def test_exact_awkward_rows(awkward, nothing):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 4, 7, 9]
 
 
+def test_rows_are_split_by_a_bitmap(spark):
+    """What passes for sure is in no id; every id's row is left to the join, repeated and null keys too."""
+    rows = spark.range(0, 5000, 1, 7).select(F.when(F.col("id") % 11 > 0, F.col("id") % 700).alias("doc_id"), F.lit("x").alias("row"), F.lit("y").alias("p"))
+    for ids in ([], [None, 5, 5, 9], list(range(0, 700, 3)), list(range(700))):
+        sure, perhaps = split_by_bitmap(rows, F.col("doc_id"), spark.createDataFrame([(i,) for i in ids], "n long"), F.col("n"))
+        assert sure.columns == perhaps.columns == rows.columns and sure.count() + perhaps.count() == 5000
+        assert not {r.doc_id for r in sure.collect()} & set(ids)
+        assert perhaps.count() <= sum(5000 / 700 * 2 for _ in ids) + 600 and (ids or perhaps.count() == 0)
+
+
 # ---- mixing ---------------------------------------------------------------------------------
 
 
