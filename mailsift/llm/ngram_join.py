@@ -123,19 +123,18 @@ def token_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]
         yield first, [_distinct(shingle_hashes(words[at[i] : at[i + 1]], k)) for i in range(last - first)]
 
 
-SIGNATURE_SCHEMA = (
-    "doc long, n_tokens long, digest_a long, digest_b long, codes array<long>, "
-    "near array<struct<code: long, pivot: long>>"
-)
+SIGNATURES = "doc long, n_tokens long, digest_a long, digest_b long, near array<struct<code: long, pivot: long>>"
+CODES = "doc long, codes array<long>"
+
 
+def signature_batches(k: int, percent: int, codes_only: bool, slice_codes: int = 1_000_000):
+    """Batches of (doc, text) to signatures, or to the codes that a document stands for.
 
-def signature_batches(k: int, percent: int, slice_codes: int = 1_000_000):
-    """Batches of (doc, text) to signatures; see ``signatures``."""
-    kind = pa.schema([
-        ("doc", pa.int64()), ("n_tokens", pa.int64()), ("digest_a", pa.int64()), ("digest_b", pa.int64()),
-        ("codes", pa.list_(pa.int64())),
-        ("near", pa.list_(pa.struct([("code", pa.int64()), ("pivot", pa.int64())]))),
-    ])
+    Within a slice the smallest document of a code stands for it, and ``near`` names it to the others.
+    Slices follow the rows of a partition alone, so both forms cut them alike; the codes, by far
+    the larger part, are made again on their way into the shuffle rather than stored.
+    """
+    near_kind = pa.list_(pa.struct([("code", pa.int64()), ("pivot", pa.int64())]))
 
     def lists(values, counts, type_):
         at = np.zeros(len(counts) + 1, np.int32)
@@ -156,14 +155,16 @@ def signature_batches(k: int, percent: int, slice_codes: int = 1_000_000):
         stands, pivots = np.zeros(len(flat), bool), np.zeros(len(flat), np.int64)
         stands[order], pivots[order] = head, pivot
         signed = flat.view(np.int64)
+        if codes_only:
+            own = lists(pa.array(signed[stands]), np.bincount(owner[stands], minlength=n), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(doc), own], names=["doc", "codes"])
         near = pa.StructArray.from_arrays(
             [pa.array(signed[~stands]), pa.array(pivots[~stands])], ["code", "pivot"]
         )
         return pa.RecordBatch.from_arrays([
             pa.array(doc), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-            lists(pa.array(signed[stands]), np.bincount(owner[stands], minlength=n), kind.field("codes").type),
-            lists(near, np.bincount(owner[~stands], minlength=n), kind.field("near").type),
-        ], schema=kind)
+            lists(near, np.bincount(owner[~stands], minlength=n), near_kind),
+        ], names=["doc", "n_tokens", "digest_a", "digest_b", "near"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: tuple[list, ...] = ([], [], [], [], [])
@@ -259,7 +260,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     known = own.where("doc is not null")
     spark, scratch = docs.sparkSession, scratch_path(docs.sparkSession, "signatures")
-    signatures = stored(known.mapInArrow(signature_batches(k, percent), SIGNATURE_SCHEMA), "signatures", scratch)
+    signatures = stored(known.mapInArrow(signature_batches(k, percent, False), SIGNATURES), "signatures", scratch)
 
     digest = ["n_tokens", "digest_a", "digest_b"]
     sizes = signatures.select("doc", *digest)
@@ -272,7 +273,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     by_code = Window.partitionBy("code")
     buckets = (
-        signatures.select("doc", F.explode("codes").alias("code"))
+        known.mapInArrow(signature_batches(k, percent, True), CODES).select("doc", F.explode("codes").alias("code"))
         .withColumns({"pivot": F.min("doc").over(by_code), "n": F.count("*").over(by_code)})
         .where("n > 1").select("code", "doc", "pivot")
     )
@@ -280,7 +281,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # Seats: who stands in a bucket, those met inside slices and those that stood for the slices.
     members = buckets.unionByName(inside)
     seats, at = _put(members.select("code", "doc").union(members.select("code", "pivot")).distinct(), "seats")
-    discard(spark, scratch)  # the codes are the bulk of what is stored, and all that matters of them is in the seats
+    discard(spark, scratch)  # all that matters of it is in the seats
     band = F.expr("cast(code & 63 as int)").alias("band")
     shared = F.element_at(F.array(*[F.lit(band_plan(i, percent)[2]) for i in range(64)]), F.col("band") + 1)
     # Who shares fewer codes of a band than similar sets do has no partner in it. A document's codes are
