@@ -158,25 +158,29 @@ def lookalike_domains(
     Brands are cut into ``k + 1`` parts; two strings within ``k`` edits share a part of the brand at
     nearly the same place, so an equi-join on length, part and place finds every pair; the
     edit distance then confirms it. The parts of a word are a few dozen, whatever its length.
-    Domains are made distinct first: a sender with a third of all mail is one row here.
+    Domains are made distinct first: a sender with a third of all mail is one row here. So are the
+    labels of a domain and the words near a brand, so the pairs need not be, however many a label
+    that all domains have brings; candidates are confirmed before they are made distinct.
     """
     labels = (
         domains.select("domain").distinct()
-        .select("domain", F.explode(domain_labels(F.col("domain"))).alias("label"))
+        .select("domain", F.explode(F.array_distinct(domain_labels(F.col("domain")))).alias("label"))
         .withColumn("_plain", plain_letters(F.col("label")))
     )
-    words = labels.select("_plain").distinct()
+    # Words are few bytes but bring many candidates: a task count of its own, which adaptive execution
+    # does not lower, keeps them apart. (Dealt by the word itself, the step would be left out.)
+    tasks = int(domains.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = labels.select("_plain").distinct().repartition(tasks, F.xxhash64("_plain"))
     names = brands.select("brand").where("brand is not null").distinct()
     distance = F.levenshtein(F.col("_plain"), F.col("brand"), max_distance)
     near = (
         word_signatures(words, max_distance).join(brand_signatures(names, max_distance), "_of")
-        .select("_plain", "brand").distinct()
         .select("_plain", "brand", distance.alias("distance"))
         .where("distance >= 0")
+        .distinct()
     )
     return (
         labels.join(near, "_plain")
         .where(F.col("label") != F.col("brand"))
         .select("domain", "label", "brand", "distance")
-        .distinct()
     )

@@ -266,3 +266,16 @@ def test_lookalike_candidates_are_few(spark):
     pairs = joins.word_signatures(words, 2).join(joins.brand_signatures(brands, 2), "_of").select("_plain", "brand").distinct()
     assert pairs.count() < 0.02 * 3000 * 3000
     assert joins.word_signatures(words, 2).count() < 75 * 3000
+
+
+def test_lookalike_words_are_spread_over_tasks(spark):
+    """Few words are few bytes, but adaptive execution must not put all their candidates into one task."""
+    domains = spark.createDataFrame([("amaz0n.amaz0n-shop.x",), ("paypa.example.com",), (None,)] * 2, "domain string")
+    brands = spark.createDataFrame([("amazon",), ("paypal",), ("amazons",)], "brand string")
+    found = joins.lookalike_domains(domains, brands, 1)
+    assert sorted(map(tuple, found.collect())) == [
+        ("amaz0n.amaz0n-shop.x", "amaz0n", "amazon", 0), ("amaz0n.amaz0n-shop.x", "amaz0n", "amazons", 1),
+        ("paypa.example.com", "paypa", "paypal", 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
