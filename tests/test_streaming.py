@@ -185,3 +185,21 @@ def test_digest_days_follow_the_local_clock(spark, tmp_path):
     run(triage.digest_window(stream), tmp_path)
     got = spark.read.parquet(f"{tmp_path}/out").orderBy("digest_from").collect()
     assert [(r["digest_from"].day, r["messages"]) for r in got] == [(9, 23), (10, 24), (11, 24), (12, 24)]
+
+
+def test_staged_files_are_listed_in_few_tasks(spark, tmp_path):
+    """A batch of many files is a few listing tasks, and the log of a long backlog is seldom written anew."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    spark.conf.unset(name)
+    spark.conf.unset(mail.LOG_INTERVAL)
+    staged_files(spark, f"{tmp_path}/staging", [f"n{i}" for i in range(6)])
+    stream = mail.read_staging_stream(spark, f"{tmp_path}/staging", max_files=500)
+    assert int(spark.conf.get(name)) <= max(32, 4 * spark.sparkContext.defaultParallelism)
+    assert int(spark.conf.get(mail.LOG_INTERVAL)) == 100
+    run(stream.select("mailbox", "name", "size"), tmp_path)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 6
+    spark.conf.set(name, "3")
+    mail.read_staging_stream(spark, f"{tmp_path}/staging")
+    assert spark.conf.get(name) == "3" and spark.conf.get(mail.LOG_INTERVAL) == "100"
+    spark.conf.unset(name)
+    spark.conf.unset(mail.LOG_INTERVAL)
