@@ -279,3 +279,13 @@ def test_lookalike_words_are_spread_over_tasks(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_mail_folders_are_listed_as_folders(spark, tmp_path):
+    """Not a path per file; nested folders and files beside folders are no messages."""
+    rows = [("ann", "cur", f"{i}", b"A") for i in range(40)] + [("bob", "new", "x", b"B"), ("bob", "cur/deep", "y", b"C"), ("cy", "", "cur", b"D")]
+    mail.land_messages(spark.createDataFrame(rows, "mailbox string, folder string, name string, content binary"), f"{tmp_path}/box").collect()
+    got = mail.read_mail_folders(spark, f"{tmp_path}/box", ("cur", "new"))
+    leaf = got._jdf.queryExecution().analyzed().collectLeaves().head()
+    assert leaf.relation().location().rootPaths().size() <= 3
+    assert sorted((r["mailbox"], r["folder"], r["name"]) for r in got.collect()) == sorted(r[:3] for r in rows[:41])
