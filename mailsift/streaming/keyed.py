@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from mailsift.operators.scans import SECOND
@@ -96,61 +96,83 @@ def rate_limit_stream(requests: DataFrame, limit: int = 30, seconds: int = 60) -
 
 
 class _Staleness(StatefulProcessor):
+    """Keys in groups by hash: one look at the state, and one timer, for all keys of a group."""
+
     LEVELS = ((1 * HOUR_MS, "warning"), (6 * HOUR_MS, "critical"))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # Since when there was no fetch, alerts sent, and whether that time is one of a fetch.
-        self.last = handle.getValueState("last", "since_ms bigint, sent bigint, fetched boolean")
+        # By key: since when there was no fetch, alerts sent, and whether that time is one of a fetch.
+        self.held = handle.getValueState(
+            "last", "names array<string>, since_ms array<bigint>, sent array<int>, fetched array<boolean>")
+
+    def _read(self) -> dict:
+        found = self.held.get() if self.held.exists() else None
+        return {name: tuple(rest) for name, *rest in zip(*found)} if found else {}
+
+    def _write(self, last: dict) -> None:
+        self.held.update((list(last), *map(list, zip(*last.values()))))
+        due = [since_ms + self.LEVELS[sent][0] + 1 for since_ms, sent, _ in last.values() if sent < len(self.LEVELS)]
+        first = min(due, default=None)
+        timers = list(self.handle.listTimers())
+        for timer in timers:
+            if timer != first:
+                self.handle.deleteTimer(timer)
+        if first is not None and first not in timers:
+            self.handle.registerTimer(first)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        """A key that is known before its first fetch."""
-        since_ms = int(initialState["since_ms"].min())
-        self.last.update((since_ms, 0, False))
-        self.handle.registerTimer(since_ms + self.LEVELS[0][0] + 1)
-
-    def _passed(self, key, since_ms: int, sent: int, fetched: bool, now_ms: int) -> tuple[list[tuple], int]:
-        """Alerts due at ``now_ms`` that were not sent yet."""
-        out = []
-        for i, (age, level) in enumerate(self.LEVELS[sent:], start=sent):
-            if now_ms - since_ms > age:
-                out.append((key[0], since_ms if fetched else None, level))
-                sent = i + 1
-        return out, sent
-
-    def _finish(self, out: list[tuple], since_ms: int, sent: int, fetched: bool) -> Iterator[pd.DataFrame]:
-        self.last.update((since_ms, sent, fetched))
-        if sent < len(self.LEVELS):
-            self.handle.registerTimer(since_ms + self.LEVELS[sent][0] + 1)
+        """Keys that are known before their first fetch."""
+        last = self._read()
+        for name, since_ms in zip(initialState["name"], initialState["since_ms"]):
+            since_ms = int(since_ms)
+            if name not in last or since_ms < last[name][0]:
+                last[name] = (since_ms, 0, False)
+        self._write(last)
+
+    def _passed(self, name, since_ms: int, sent: int, fetched: bool, now_ms: int, out: list[tuple]) -> int:
+        """Adds the alerts due at ``now_ms`` that were not sent yet; returns how many are sent."""
+        for age, level in self.LEVELS[sent:]:
+            if now_ms - since_ms <= age:
+                break
+            out.append((name, since_ms if fetched else None, level))
+            sent += 1
+        return sent
+
+    def _told(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
         if out:
             names, ids, levels = zip(*out)
-            yield pd.DataFrame({"key": names, "last_fetch_ms": pd.array(ids, "Int64"), "level": levels})
+            yield pd.DataFrame({"name": names, "last_fetch_ms": pd.array(ids, "Int64"), "level": levels})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = self.last.get() if self.last.exists() else None
-        since_ms, sent, fetched = (int(found[0]), int(found[1]), bool(found[2])) if found else (None, 0, False)
-        out = []
-        for at_ms in _in_time_order(rows, "fetch_ms")["fetch_ms"]:
-            if since_ms is not None and at_ms > since_ms:
-                alerts, _ = self._passed(key, since_ms, sent, fetched, int(at_ms))
-                out += alerts
-            if since_ms is None or at_ms > since_ms or not fetched:
-                since_ms, sent, fetched = max(int(at_ms), since_ms or int(at_ms)), 0, True
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        yield from self._finish(out, since_ms, sent, fetched)
+        last, out = self._read(), []
+        batch = _in_time_order(rows, "fetch_ms")
+        for name, at_ms in zip(batch["name"], batch["fetch_ms"].tolist()):
+            at_ms = int(at_ms)
+            if name not in last:
+                last[name] = (at_ms, 0, True)
+                continue
+            since_ms, sent, fetched = last[name]
+            if at_ms > since_ms:
+                self._passed(name, since_ms, sent, fetched, at_ms, out)
+            if at_ms > since_ms or not fetched:
+                last[name] = (max(at_ms, since_ms), 0, True)
+        self._write(last)
+        yield from self._told(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        since_ms, sent, fetched = self.last.get()
-        out, sent = self._passed(key, int(since_ms), int(sent), bool(fetched), timerValues.getCurrentWatermarkInMs())
-        yield from self._finish(out, int(since_ms), sent, bool(fetched))
+        now_ms, last, out = timerValues.getCurrentWatermarkInMs(), self._read(), []
+        for name, (since_ms, sent, fetched) in last.items():
+            last[name] = (since_ms, self._passed(name, since_ms, sent, fetched, now_ms, out), fetched)
+        self._write(last)
+        yield from self._told(out)
 
     def close(self) -> None:
         pass
 
 
 def staleness_stream(
-    fetches: DataFrame, delay: str = "10 minutes", known: DataFrame | None = None
+    fetches: DataFrame, delay: str = "10 minutes", known: DataFrame | None = None, groups: int = 1024
 ) -> DataFrame:
     """Alert when a key had no successful fetch for one hour, and again after six.
 
@@ -160,12 +182,22 @@ def staleness_stream(
     ``known`` has key and since_ms: keys that are to fetch from that time on. They are the initial
     state of the operator, read when a checkpoint is new, so a key that never fetched is alerted too,
     with a null ``last_fetch_ms``. Of several rows of a key the earliest holds.
+
+    A call to the state store costs more than the work on a key, so the state lies in ``groups`` of
+    keys by their hash. A checkpoint holds on to the number it began with.
     """
-    seeds = None if known is None else known.select("key", "since_ms").groupBy("key")
-    return fetches.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int")).withColumn(
+            "name", F.col("key").cast("string"))
+
+    seeds = None if known is None else grouped(known).select("group", "name", "since_ms").groupBy("group")
+    rows = grouped(fetches.withWatermark("ts", delay)).select("group", "name", "ts", "fetch_ms")
+    alerts = rows.groupBy("group").transformWithStateInPandas(
         statefulProcessor=_Staleness(),
-        outputStructType=_types(fetches, "key") + ", last_fetch_ms bigint, level string",
+        outputStructType="name string, last_fetch_ms bigint, level string",
         outputMode="Append",
         timeMode="EventTime",
         initialState=seeds,
     )
+    key = F.col("name").cast(dict(fetches.dtypes)["key"]).alias("key")
+    return alerts.select(key, "last_fetch_ms", "level")
