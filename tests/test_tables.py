@@ -289,3 +289,16 @@ def test_mail_folders_are_listed_as_folders(spark, tmp_path):
     leaf = got._jdf.queryExecution().analyzed().collectLeaves().head()
     assert leaf.relation().location().rootPaths().size() <= 3
     assert sorted((r["mailbox"], r["folder"], r["name"]) for r in got.collect()) == sorted(r[:3] for r in rows[:41])
+
+
+def test_mail_files_are_read_many_in_a_task(spark, tmp_path):
+    name = "spark.sql.files.openCostInBytes"
+    spark.conf.unset(name)
+    rows = [("ann", "cur", f"{i}", b"A") for i in range(600)]
+    mail.land_messages(spark.createDataFrame(rows, "mailbox string, folder string, name string, content binary"), f"{tmp_path}/box").collect()
+    got = mail.read_mail_folders(spark, f"{tmp_path}/box", ("cur",))
+    assert got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1 and got.count() == 600
+    spark.conf.set(name, "64k")
+    mail.read_mail_folders(spark, f"{tmp_path}/box", ("cur",))
+    assert spark.conf.get(name) == "64k"
+    spark.conf.unset(name)
