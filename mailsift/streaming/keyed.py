@@ -111,6 +111,8 @@ class _Staleness(StatefulProcessor):
         return {name: tuple(rest) for name, *rest in zip(*found)} if found else {}
 
     def _write(self, last: dict) -> None:
+        if not last:
+            return
         self.held.update((list(last), *map(list, zip(*last.values()))))
         due = [since_ms + self.LEVELS[sent][0] + 1 for since_ms, sent, _ in last.values() if sent < len(self.LEVELS)]
         first = min(due, default=None)
@@ -146,7 +148,7 @@ class _Staleness(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last, out = self._read(), []
-        batch = _in_time_order(rows, "fetch_ms")
+        batch = _in_time_order(rows, "fetch_ms").dropna(subset=["fetch_ms"])
         for name, at_ms in zip(batch["name"], batch["fetch_ms"].tolist()):
             at_ms = int(at_ms)
             if name not in last:

@@ -203,3 +203,34 @@ def test_staged_files_are_listed_in_few_tasks(spark, tmp_path):
     assert spark.conf.get(name) == "3" and spark.conf.get(mail.LOG_INTERVAL) == "100"
     spark.conf.unset(name)
     spark.conf.unset(mail.LOG_INTERVAL)
+
+
+def test_staleness_state_is_shared_by_groups_of_keys(spark, tmp_path):
+    """More keys than groups, keys of any type, a null key and fetches without a time; few calls to the state."""
+    hour, start = 3_600_000, int(T0.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    hours = ((0, range(40)), (2, range(10)), (20, [0]))
+    rows = [(f"box {k}", T0 + dt.timedelta(hours=h), start + h * hour) for h, ks in hours for k in ks]
+    rows += [(None, T0, start), ("box 1", None, None), ("odd", None, None)]
+    schema = "key string, ts timestamp, fetch_ms bigint"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(keyed._Staleness):
+        def _write(self, last):
+            calls.add(1)
+            super()._write(last)
+
+    known = spark.createDataFrame([(f"new {k}", start) for k in range(40)], "key string, since_ms bigint")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    held, keyed._Staleness = keyed._Staleness, Counted
+    try:
+        run(keyed.staleness_stream(stream, known=known, groups=2), tmp_path)
+    finally:
+        keyed._Staleness = held
+    got = sorted(((r[0], None if r[1] is None else (r[1] - start) // hour, r[2]) for r in spark.read.parquet(f"{tmp_path}/out").collect()), key=str)
+    late = lambda name, h: [(name, h, "critical"), (name, h, "warning")]
+    want = [x for k in range(40) for x in late(f"new {k}", None)] + late(None, 0)
+    want += [x for k in range(10, 40) for x in late(f"box {k}", 0)] + [(f"box {k}", 0, "warning") for k in range(10)]
+    want += [x for k in range(10) for x in late(f"box {k}", 2)]
+    assert got == sorted(want, key=str)
+    assert 0 < calls.value <= 12
