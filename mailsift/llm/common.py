@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from mailsift.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 512 << 10
+SLICE_BYTES = 128 << 10  # of text; n-grams of a slice take about 120 times that
 PAGE_BITS = 32_768  # of Spark's bitmap functions
 MOST_PAGES = 16_384
 U64 = np.uint64

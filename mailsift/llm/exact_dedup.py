@@ -59,10 +59,10 @@ def recipe_batches(bits: int, with_chunks: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(0)
+            rows, told = batch.column(0), set()
             for first, last, data, offsets in text_slices(batch.column(1)):
                 points, raw = _cut_points(data), memoryview(data)
-                hashes, digests, counts, chunks, told = [], [], [], [], set()
+                hashes, digests, counts, chunks = [], [], [], []
                 for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                     pieces = cut_text(start, end, points)
                     own = [_chunk_hash(raw[a:b], bits) for a, b in pieces]

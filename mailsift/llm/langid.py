@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from mailsift.llm.common import U64, text_slices
 
 BINS = 1 << 16
-STRETCH = 1 << 20  # of bytes that are turned into n-grams at once
+STRETCH = 1 << 18  # of bytes that are turned into n-grams at once
 ORDERS = (1, 2, 3, 4)
 PER_LANGUAGE = 400  # bound of the training sample, texts of each language
 SAMPLE_TEXTS = 40_000  # of all languages; with over 10,000 of them, four texts of each
@@ -32,7 +32,7 @@ UNKNOWN = "und"
 _MULTIPLIER = U64(0x9E3779B97F4A7C15)
 
 
-def presence(data: np.ndarray, offsets: np.ndarray, lower: bool = True, rows: int = 256) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def presence(data: np.ndarray, offsets: np.ndarray, lower: bool = True, rows: int = 64) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first, last, row, bin)``: the distinct n-gram bins of the texts of a slice, in groups of texts.
 
     ``lower`` reads A-Z as a-z; a text counts as if in spaces.

@@ -131,7 +131,7 @@ def _numbered(rows: DataFrame, n: Column) -> DataFrame:
 # ---- bins with their texts ------------------------------------------------------------------
 
 _PIECES = "block long, draw long, doc_id long, source string, cluster binary, piece long, n long, text string"
-FLUSH_BYTES = 1 << 20
+FLUSH_BYTES = 256 << 10
 
 
 def _cut(blocks: int, capacity: int):

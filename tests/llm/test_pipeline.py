@@ -2,8 +2,11 @@
 
 import itertools
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -91,3 +94,33 @@ def test_stages_take_an_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF), f"test-empty-{name}")
         assert docs.count() == 0
+
+
+def test_memory_of_a_language_batch_is_bounded():
+    """A batch is scored in little more memory than one small slice of it needs."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 123, 3_000))) for _ in range(1_200)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts))), pa.array(texts), pa.array([True] * len(texts))], names=["doc_id", "text", "letters"])
+    weights = rng.random((langid.BINS + 1, 4)).astype(np.float32)
+    score = langid.score_batches(["a", "b", "c", "d"], weights)
+    tracemalloc.start()
+    try:
+        assert sum(out.num_rows for out in score(iter([batch]))) == len(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 24 << 20
+
+
+def test_stages_ask_for_small_arrow_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = table(spark, SF, "documents").limit(0)
+    before = spark.conf.get(name)
+    try:
+        for _, stage in corpus_pipeline.STAGES[:2]:
+            spark.conf.set(name, "64m")
+            stage(spark, docs, SF)
+            assert int(spark.conf.get(name).rstrip("b")) <= 1 << 20
+    finally:
+        spark.conf.set(name, before)
