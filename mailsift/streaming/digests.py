@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -49,37 +50,45 @@ def _partial(group: list[str], n: int):
 
 
 class _Newest(StatefulProcessor):
+    """Digests of a day in groups by hash: one look at the state, and one timer, for all of a group."""
+
     def __init__(self, group: list[str], n: int):
         self.group, self.n = group, n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.items = handle.getListState("items", "at_us bigint, tie string, item string")
-        self.count = handle.getValueState("count", "n bigint")
+        self.held = handle.getValueState("held", "digests binary")
+
+    def _read(self, day_ms: int) -> pd.DataFrame:
+        return pa.ipc.open_stream(pa.py_buffer(self.held.get()[0])).read_pandas().assign(day_ms=day_ms)
+
+    def _write(self, rows: pd.DataFrame) -> None:
+        table = pa.Table.from_pandas(rows[[*self.group, "at_us", "tie", "item", "n"]], preserve_index=False)
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as packed:
+            packed.write_table(table)
+        self.held.update((out.getvalue().to_pybytes(),))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        closes = int(key[-1]) + DAY_MS
+        day_ms = int(key[0])
         new = pd.concat(list(rows), ignore_index=True)
-        if closes <= timerValues.getCurrentWatermarkInMs():
-            return  # the digest of that day has been given out
-        if self.count.exists():
-            before = int(self.count.get()[0])
-            known = pd.DataFrame(list(self.items.get()), columns=["at_us", "tie", "item"])
-            new = pd.concat([new, known], ignore_index=True)
+        if day_ms + DAY_MS <= timerValues.getCurrentWatermarkInMs():
+            return  # the digests of that day have been given out
+        new = new.assign(day_ms=day_ms)
+        if self.held.exists():
+            new = pd.concat([new, self._read(day_ms)], ignore_index=True)
         else:
-            before = 0
-            self.handle.registerTimer(closes)
-        newest = new.sort_values(["at_us", "tie"], ascending=[False, True], kind="stable")[: self.n]
-        self.items.put([(int(a), t, i) for a, t, i in zip(newest["at_us"], newest["tie"], newest["item"])])
-        self.count.update((before + int(new["n"].sum()),))
+            self.handle.registerTimer(day_ms + DAY_MS)
+        self._write(reduced(new, self.group, self.n))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        found = list(self.items.get())
-        row = dict(zip([*self.group, "day_ms"], key)) | {"messages": int(self.count.get()[0]), "items": [i[2] for i in found]}
-        self.items.clear()
-        self.count.clear()
-        yield pd.DataFrame([row])
+        rows = self._read(int(key[0]))
+        self.held.clear()
+        first = rows[rows["n"] > 0]  # that of each group has its count
+        items = rows.groupby([*self.group, "day_ms"], dropna=False, sort=False)["item"].agg(list)
+        told = first[[*self.group, "day_ms"]].assign(messages=first["n"], items=items.to_numpy())
+        yield told.reset_index(drop=True)
 
     def close(self) -> None:
         pass
@@ -87,24 +96,28 @@ class _Newest(StatefulProcessor):
 
 def newest_per_day(
     stream: DataFrame, group: Sequence[str], item: Column, n: int, hour: int = 8, tz: str = "US/Central",
-    delay: str = "1 hour", ts: str = "received_at", tie: str = "message_key",
+    delay: str = "1 hour", ts: str = "received_at", tie: str = "message_key", buckets: int = 64,
 ) -> DataFrame:
     """``group..., digest_from, digest_to, messages, items``: a row per group and closed day.
 
     Days begin at the local ``hour`` of ``tz``, as in ``digest_window``; the times given out are
     local. ``items`` are the ``n`` newest, newest first, ``item`` of each, which may be a struct.
     Messages of a day that has closed are left out; those without a time have no day.
+
+    A call to the state store costs more than the work on a group, so the state of a day lies in
+    ``buckets`` of groups by their hash. A checkpoint holds on to the number it began with.
     """
     types, keys = dict(stream.dtypes), [f"g{i}" for i in range(len(group))]
     timed = stream.where(F.col(ts).isNotNull()).withColumn("_local", F.from_utc_timestamp(F.col(ts), tz)).withWatermark("_local", delay)
     into_day = F.pmod(F.unix_millis("_local") - hour * 3_600_000, F.lit(DAY_MS))
     rows = timed.select(
-        *[F.col(c).alias(k) for c, k in zip(group, keys)], (F.unix_millis("_local") - into_day).alias("day_ms"),
+        *[F.col(c).cast("string").alias(k) for c, k in zip(group, keys)], (F.unix_millis("_local") - into_day).alias("day_ms"),
         micros(F.col(ts)).alias("at_us"), F.col(tie).cast("string").alias("tie"),
         F.to_json(F.struct(item.alias("v"))).alias("item"), F.lit(1).cast("bigint").alias("n"))
     partial = rows.mapInPandas(_partial(keys, n), rows.schema)
-    named = "".join(f"{k} {types[c]}, " for c, k in zip(group, keys))
-    days = partial.groupBy(*keys, "day_ms").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("day_ms", *keys), F.lit(buckets)).cast("int").alias("bucket")
+    named = "".join(f"{k} string, " for k in keys)
+    days = partial.select("*", bucket).groupBy("day_ms", "bucket").transformWithStateInPandas(
         statefulProcessor=_Newest(keys, n),
         outputStructType=f"{named}day_ms bigint, messages bigint, items array<string>",
         outputMode="Append",
@@ -113,7 +126,7 @@ def newest_per_day(
     kind = stream.select(item.alias("v")).schema["v"].dataType.simpleString()
     items = F.transform("items", lambda x: F.from_json(x, f"v {kind}")["v"])
     return days.select(
-        *[F.col(k).alias(c) for c, k in zip(group, keys)], F.timestamp_millis("day_ms").alias("digest_from"),
+        *[F.col(k).cast(types[c]).alias(c) for c, k in zip(group, keys)], F.timestamp_millis("day_ms").alias("digest_from"),
         F.timestamp_millis(F.col("day_ms") + DAY_MS).alias("digest_to"), "messages", items.alias("items"))
 
 

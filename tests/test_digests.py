@@ -98,3 +98,32 @@ def test_partial_digests_merge_to_one_of_the_same_size():
 def test_a_stream_without_rows(spark, tmp_path):
     assert run(spark, lambda s: digests.category_rollup_stream(s, 2), [], tmp_path, 1) == []
     assert run(spark, lambda s: digests.quarantine_summary_stream(s, 2), [], f"{tmp_path}/q", 1) == []
+
+
+def test_state_is_shared_by_groups_of_a_day(spark, tmp_path, monkeypatch):
+    """Far more mailboxes than buckets, a null one and large numbers: few calls to the state, the same digests."""
+    draw, big, rows = random.Random(5), 1 << 60, []
+    for i in range(600):
+        box = None if i % 50 == 0 else big + i % 49
+        at = T0 + dt.timedelta(hours=96 * i / 600)
+        rows.append((box, at, f"k{i:05}", draw.choice(["a@x.example", None]), f"s{i}"))
+    schema = "mailbox bigint, received_at timestamp, message_key string, from_addr string, subject string"
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(digests._Newest):
+        def handleInputRows(self, key, rows, timerValues):
+            calls.add(1)
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(digests, "_Newest", Counted)
+    for part in (rows[:350], rows[350:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        made = digests.newest_per_day(stream, ["mailbox", "from_addr"], F.col("subject"), 2, buckets=3)
+        made.writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+            "checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(made.schema).parquet(f"{tmp_path}/out").collect()
+    assert dict(made.dtypes)["mailbox"] == "bigint"
+    got = {(r["mailbox"], r["from_addr"], r["digest_from"]): (r["messages"], r["items"]) for r in found}
+    assert len(got) == len(found) and got == plain(rows, [0, 3], 2, rows[-1][1] - dt.timedelta(hours=7))
+    assert 0 < calls.value <= 3 * 6 + 3  # three buckets of at most six days, one of them in both parts
