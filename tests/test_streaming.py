@@ -234,3 +234,37 @@ def test_staleness_state_is_shared_by_groups_of_keys(spark, tmp_path):
     want += [x for k in range(10) for x in late(f"box {k}", 2)]
     assert got == sorted(want, key=str)
     assert 0 < calls.value <= 12
+
+
+def test_a_batch_without_a_new_message_is_not_parsed(spark, tmp_path, monkeypatch):
+    """Its keys settle it; with one new message among them the batch is parsed and only that one is scored."""
+    rows = [("b", f"{i}.mail", f"From: a{i}@x\n\nb".encode()) for i in range(5)]
+    schema, path = "mailbox string, name string, content binary", f"{tmp_path}/t"
+    triage.triage_batch(spark.createDataFrame(rows, schema), 1, path)
+    scored = []
+    score = triage.score_batch
+    monkeypatch.setattr(triage, "score_batch", lambda df, *a, **b: scored.append(df.count()) or score(df, *a, **b))
+    triage.triage_batch(spark.createDataFrame([*rows, rows[0]], schema), 2, path)
+    assert scored == [] and triage.read_dispositions(spark, path).count() == 5
+    assert [c[:2] for c in triage.disposition_table(spark, path).commits()] == [(1, 1), (2, 2)]
+    new = ("b", "new.mail", b"From: new@x\n\nb")
+    triage.triage_batch(spark.createDataFrame([*rows, new, new], schema), 3, path)
+    assert scored == [1] and triage.read_dispositions(spark, path).where("batch_id = 3").first()["from_addr"] == "new@x"
+    triage.triage_batch(spark.createDataFrame(rows[:2], schema), 2, path)  # replays find what they found before
+    assert triage.read_dispositions(spark, path).groupBy("batch_id").count().collect().__len__() == 2
+
+
+def test_small_messages_are_few_tasks(spark, tmp_path):
+    """Also where the session reads 16 MB in a task: a Python worker starts for hundreds of messages, not for 64."""
+    name, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.unset(cost)
+    spark.conf.set(name, "16m")
+    try:
+        staged_files(spark, f"{tmp_path}/staging", [f"n{i}" for i in range(1500)])
+        mail.read_staging_stream(spark, f"{tmp_path}/staging")
+        files = spark.read.format("binaryFile").load(f"{tmp_path}/staging/*/*.mail")
+        assert files.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.unset(cost)
