@@ -173,8 +173,10 @@ def lookalike_domains(
     words = labels.select("_plain").distinct().repartition(tasks, F.xxhash64("_plain"))
     names = brands.select("brand").where("brand is not null").distinct()
     distance = F.levenshtein(F.col("_plain"), F.col("brand"), max_distance)
+    # Spark's sizes know nothing of how many rows ``explode`` makes: it would take a word for as large as its
+    # dozens of signatures and send them all through the driver.
     near = (
-        word_signatures(words, max_distance).join(brand_signatures(names, max_distance), "_of")
+        word_signatures(words, max_distance).hint("merge").join(brand_signatures(names, max_distance), "_of")
         .select("_plain", "brand", distance.alias("distance"))
         .where("distance >= 0")
         .distinct()

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -302,3 +303,15 @@ def test_mail_files_are_read_many_in_a_task(spark, tmp_path):
     mail.read_mail_folders(spark, f"{tmp_path}/box", ("cur",))
     assert spark.conf.get(name) == "64k"
     spark.conf.unset(name)
+
+
+def test_signatures_of_few_words_are_not_sent_through_the_driver(spark):
+    """Words are few bytes, their signatures are not, and Spark takes them for as many."""
+    draw = random.Random(2)
+    names = ["".join(draw.choice("abcdefgh") for _ in range(draw.randrange(3, 9))) for _ in range(200)]
+    domains = spark.createDataFrame([(f"{n[:-1]}q-shop.example.com",) for n in names], "domain string")
+    found = joins.lookalike_domains(domains, spark.createDataFrame([(n,) for n in names], "brand string"), 2)
+    assert found.count() > 200
+    found.collect()
+    joined = re.findall(r"(\w+Join) \[([^\]]*)\]", found._jdf.queryExecution().executedPlan().toString())
+    assert {kind for kind, keys in joined if "_of" in keys} == {"SortMergeJoin"}
